@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "secrets", "decontaminate")
+MODULES = ("tokens", "secrets", "packing", "decontaminate", "sharding")
 
 
 def _gather(name: str) -> dict:

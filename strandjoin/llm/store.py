@@ -66,7 +66,8 @@ def drop(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Arrow batches of at most ``rows`` rows, so that a batch of long texts fits a Python worker."""
+    """Arrow batches of at most ``rows`` rows, so that a batch of long texts fits a Python worker; ships the package."""
+    ship(spark)
     if int(spark.conf.get(_RECORDS)) > rows:
         spark.conf.set(_RECORDS, str(rows))
 
@@ -90,3 +91,20 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 
     made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
     return spark.range(1, numPartitions=1).select(F.inline(made))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, for operators that run Python there."""
+    import pathlib
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_strandjoin_shipped", False):
+        return
+    top = pathlib.Path(__file__).resolve().parents[1]
+    target = pathlib.Path(tempfile.mkdtemp(prefix="strandjoin-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(str(target))
+    context._strandjoin_shipped = True
