@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokens", "secrets", "packing", "decontaminate", "sharding")
+MODULES = ("tokens", "secrets", "packing", "language", "decontaminate", "sharding")
 
 
 def _gather(name: str) -> dict:
