@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import small_batches, table, without
 
 OUT = ("lang_pred", "score", "rejected")
-SAMPLE_BYTES, SAMPLE_CHARS, LEVEL, MARGIN = 32_768, 1_500, 9, 0.005
+SAMPLE_BYTES, SAMPLE_CHARS, LEVEL, MARGIN = 32_768, 1_500, 9, 0.002
 SAMPLE_ROWS = 256
 SHARED = 5
 _WORD = re.compile(r"[^\W\d_]+")

@@ -213,13 +213,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, run) -> DataFrame:
     """Pairs (a, b) of class ids whose full sets are similar; only the texts of these classes move."""
     pairs = pairs.select("a", "b")
     wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = cut(texts.join(F.broadcast(wanted) if _small(wanted) else wanted, "id", "left_semi"), "texts")
+    texts = cut(texts.join(F.broadcast(wanted) if few_ids(wanted) else wanted, "id", "left_semi"), "texts")
     with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _small(ids: DataFrame, rows: int = 2_000_000) -> bool:
+def few_ids(ids: DataFrame, rows: int = 2_000_000) -> bool:
     """Ids may be broadcast if there are few (16 MB)."""
     return ids.limit(rows + 1).count() <= rows
 
