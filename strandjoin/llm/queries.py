@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("tokens", "neardup", "secrets", "packing", "language", "decontaminate", "neighbours", "sharding", "substrings")
+MODULES = ("licenses", "tokens", "neardup", "secrets", "packing", "language", "decontaminate", "neighbours", "sharding", "substrings")
 
 
 def _gather(name: str) -> dict:
