@@ -5,8 +5,9 @@ shift from nF-1 down to -(nR-1) is scored over its overlap; the best positive sc
 equals, the largest d.  Scores are rounded to nine digits before they are compared, so that engines
 that sum in another order agree on ties.
 
-``native`` uses array functions inside one projection; ``arrow`` scores batches of pairs of equal lengths with numpy tables and is
-the faster one.  Both are narrow: no shuffle.  Pairs without a positive score have null results.
+``native`` makes a row for each compared pair of bases and aggregates, in generated code; ``arrow`` scores
+batches of pairs of equal lengths with numpy tables, is narrow (no shuffle) and is the faster one.  Pairs
+without a positive score have null results.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, sequence
@@ -40,29 +41,29 @@ def prepared(pairs: DataFrame, params: MergeParams) -> DataFrame:
 
 
 def best_overlap_native(ready: DataFrame, params: MergeParams, freqs: BaseFrequencies) -> DataFrame:
-    error = lambda a: F.transform(a, lambda c: sequence.error_probability(c, params.phred_base))
-    table = ready.withColumns({"_x": sequence.characters("f_seq"), "_y": sequence.characters("r_seq")}).withColumns({"_ex": error(sequence.characters("f_qual")), "_ey": error(sequence.characters("r_qual"))})
-    shares = lambda a: F.transform(a, lambda c: scoring.share(c, freqs))
-    table = table.withColumns({"_px": shares("_x"), "_py": shares("_y")})
-    n_f, n_r = F.size("_x"), F.size("_y")
-
-    def at_shift(d: Column) -> Column:
-        ol = F.least(n_f, d + n_r) - F.greatest(F.lit(0), d)
-        i, j = F.greatest(d, F.lit(0)), F.greatest(-d, F.lit(0))
-
-        def add(s: Column, k: Column) -> Column:
-            score, oes = scoring.pair_score(F.get("_x", i + k), F.get("_y", j + k), F.get("_ex", i + k), F.get("_ey", j + k), params.score_method, freqs, F.get("_px", i + k), F.get("_py", j + k))
-            return F.struct((s["score"] + score).alias("score"), (s["oes"] + oes).alias("oes"))
-
-        zero = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("oes"))
-        total = F.aggregate(F.sequence(F.lit(0), ol - 1), zero, add)
-        return F.struct(F.round(total["score"], DIGITS).alias("score"), d.alias("d"), ol.alias("overlap"), F.round(total["oes"], DIGITS).alias("oes"))
-
-    shifts = F.when((n_f > 0) & (n_r > 0), F.transform(F.sequence(n_f - 1, 1 - n_r, F.lit(-1)), at_shift))
-    best = F.array_max(F.filter(shifts, lambda s: s["score"] > 0))  # ordered by score, then d
-    out = table.withColumn("_best", best)
-    names = {"d": F.col("_best.d"), "overlap": F.col("_best.overlap"), "asm_len": F.col("_best.d") + F.length("r_seq"), "score": F.col("_best.score"), "oes": F.col("_best.oes")}
-    return out.withColumns({k: v.cast("double") if k in ("score", "oes") else v.cast("int") for k, v in names.items()}).drop("_x", "_y", "_ex", "_ey", "_px", "_py", "_best")
+    """One row for each compared pair of bases, summed for each shift; ``row_id`` names a pair.
+
+    The pairs are dealt by ``row_id`` once, which serves both aggregates and the join, so the many rows made
+    from them never leave their tasks.
+    """
+    ready = ready.repartition(int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_id")  # a fixed number is not coalesced
+    n_f, n_r, d, k = F.length("f_seq"), F.length("r_seq"), F.col("d"), F.col("_k")
+    i, j = F.greatest(d, F.lit(0)), F.greatest(-d, F.lit(0))
+    shifts = ready.where((n_f > 0) & (n_r > 0)).select("row_id", "f_seq", "f_qual", "r_seq", "r_qual", F.explode(F.sequence(1 - n_r, n_f - 1)).alias("d"))
+    bases = shifts.select("*", F.explode(F.sequence(F.lit(0), F.least(n_f, d + n_r) - i - 1)).alias("_k"))
+    char = lambda c, at: sequence.at(c, at + k)
+    ex, ey = (sequence.error_probability(char(c, at), params.phred_base) for c, at in (("f_qual", i), ("r_qual", j)))
+    # Generators of one row keep the letters and shares from being written out at each mention, which
+    # would make the generated method too long to be compiled.
+    named = lambda **c: F.inline(F.array(F.struct(*[v.alias(n) for n, v in c.items()])))
+    each = bases.select("row_id", "d", named(x=char("f_seq", i), y=char("r_seq", j), ex=ex, ey=ey))
+    each = each.select("*", named(px=scoring.share(F.col("x"), freqs), py=scoring.share(F.col("y"), freqs)))
+    score, oes = scoring.pair_score(*map(F.col, ("x", "y", "ex", "ey")), params.score_method, freqs, F.col("px"), F.col("py"))
+    each = each.select("row_id", "d", score.alias("score"), oes.alias("oes"))
+    total = each.groupBy("row_id", "d").agg(F.round(F.sum("score"), DIGITS).alias("score"), F.round(F.sum("oes"), DIGITS).alias("oes"), F.count("*").cast("int").alias("overlap"))
+    best = total.where("score > 0").groupBy("row_id").agg(F.max(F.struct("score", "d", "overlap", "oes")).alias("_b"))  # ordered by score, then d
+    out = ready.join(best.hint("shuffle_hash"), "row_id", "left")
+    return out.select(*ready.columns, "_b.d", "_b.overlap", (F.col("_b.d") + n_r).alias("asm_len"), "_b.score", "_b.oes")
 
 
 # ---- numpy ----------------------------------------------------------------------------------------
