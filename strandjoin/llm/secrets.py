@@ -9,9 +9,9 @@ Base kinds (their spans are of the whole match, in code points, end exclusive):
 The method adds ``entropy`` spans: runs of 20 or more characters of the base64 alphabet are candidate
 strings.  A window slides over each; for each character class the Shannon entropy of the window's
 characters of that class is kept from counts that change by one character in and one out.  A
-candidate whose best window passes the limit of its class becomes a span, unless the allow-list
-suppresses it: it lies in a base span, it is a URL path or file path, or it has too few classes, as
-words and identifiers have.
+candidate becomes a span if its best windows pass the limits of two classes or more, unless the allow-list
+suppresses it: it overlaps a base span, it is a path or a dashed identifier of words, or it has characters of too few
+classes, as words have.
 
 A null text has no spans, like an empty one.  No row is dropped; repeated rows give repeated results.
 Columns named like the outputs are replaced.  Everything is one narrow projection.
@@ -35,9 +35,9 @@ OUT = ("n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "se
 
 WINDOW = 16
 #: Class of characters, and the entropy in bits that a window must exceed.
-CLASSES = (("A-Z", 2.2), ("a-z", 2.6), ("0-9", 2.2))
-#: A candidate needs characters of at least so many classes; prose, file names and identifiers have fewer.
-LEAST_CLASSES = 3
+CLASSES = (("A-Z", 1.9), ("a-z", 1.9), ("0-9", 1.9))
+#: A candidate needs characters of at least so many classes, and so many classes over their limits; words, file names and identifiers have fewer.
+LEAST_CLASSES, LEAST_HIGH = 3, 2
 #: Suppressed candidates: paths and dashed or underscored identifiers of words.
 ALLOW = r"^(/|\./|\.\./)|^([A-Za-z]+[-_/=])+[A-Za-z]*$|^[-_=+/]+$|^[0-9-]+$"
 
@@ -69,8 +69,8 @@ def window_entropy(s: Column, chars: str, window: int = WINDOW) -> Column:
     """The largest entropy, over windows of ``s``, of the window's characters of one class.
 
     With counts c and n their sum, the entropy is log2(n) - sum(c log2 c) / n.  The sum changes only
-    by the counts of the characters that enter and leave.  A window with fewer than half its
-    characters of the class counts as 0.
+    by the counts of the characters that enter and leave.  A window with fewer than a quarter of
+    its characters of the class counts as 0.
     """
     xlog = lambda c: F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
@@ -85,24 +85,18 @@ def window_entropy(s: Column, chars: str, window: int = WINDOW) -> Column:
         c_new = F.when(new_in, count(gone, new)).otherwise(F.lit(0))
         total = state["sum"] + F.when(old_in, xlog(c_old - 1) - xlog(c_old)).otherwise(F.lit(0.0)) + F.when(new_in, xlog(c_new + 1) - xlog(c_new)).otherwise(F.lit(0.0))
         n = state["n"] - old_in.cast("int") + new_in.cast("int")
-        h = F.when((n * 2 >= window) & (i >= window), F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
+        h = F.when((n * 4 >= window) & (i >= window), F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
         return F.struct(n.alias("n"), total.alias("sum"), F.greatest(state["best"], h).alias("best"))
 
     zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
     return F.aggregate(F.sequence(F.lit(1), F.char_length(s)), zero, step, lambda st: F.round(st["best"], 6))
 
 
-def entropy_limit(chars: str) -> float:
-    return dict(CLASSES)[chars]
-
-
 def suspicious(s: Column) -> Column:
-    """A candidate string that the entropy rule reports: enough classes, not allow-listed, and one class's window over its limit."""
+    """A candidate string that the entropy rule reports: enough classes, not allow-listed, and windows of enough classes over their limits."""
     classes = sum((s.rlike(f"[{c}]").cast("int") for c, _ in CLASSES), F.lit(0))
-    high = F.lit(False)
-    for c, limit in CLASSES:
-        high = high | (window_entropy(s, c) > limit)
-    return (classes >= LEAST_CLASSES) & ~s.rlike(ALLOW) & high
+    high = sum(((window_entropy(s, c) > limit).cast("int") for c, limit in CLASSES), F.lit(0))
+    return F.when((classes >= LEAST_CLASSES) & ~s.rlike(ALLOW), high >= LEAST_HIGH).otherwise(F.lit(False))
 
 
 def scan_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
