@@ -3,8 +3,8 @@
 A text longer than ``chunk`` characters is encoded in chunks that overlap.  Each encoding keeps the
 offset of every unit it encoded.  Two neighbouring encodings are spliced at an offset of the overlap
 that both have as a unit boundary and that is proven stable: the character before it is white space
-that no token of the vocabulary's pre-tokeniser crosses, and the units on both sides of it lie wholly
-inside both chunks.  Where an overlap holds no such offset (one run of 100,000 letters, say) it is
+that no token of the vocabulary's pre-tokeniser crosses, with a letter or digit after it and no white space before
+it, and the units on both sides of it lie wholly inside both chunks.  Where an overlap holds no such offset (one run of 100,000 letters, say) it is
 doubled, up to the rest of the text.  Memory is that of a chunk and its overlap.
 
 Units are pieces between white space (see ``pieces``) for tokenizers whose pattern drops white space,
@@ -69,7 +69,7 @@ def _splice(left: list, right: list, text: str, low: int, high: int) -> int | No
     """A proven stable common boundary in [low, high), or None."""
     here = {u[0]: k for k, u in enumerate(left)}
     for k, (offset, end, n) in enumerate(right):
-        if not low < offset < high or text[offset - 1] not in BREAKS or (offset < len(text) and text[offset].isspace()):
+        if not low < offset < high or text[offset - 1] not in BREAKS or text[offset - 2].isspace() or not text[offset : offset + 1].isalnum():
             continue
         i = here.get(offset)
         if i and k and left[i][1:] == (end, n) and end < high and left[i - 1][1] <= offset and right[k - 1][1] <= offset:
