@@ -3,7 +3,7 @@
 Texts are normalised to lower-case words of letters.  For each language of the training rows a
 raw-content zstandard dictionary holds a bounded sample of such words.  A text is compressed once with
 each dictionary; the language whose dictionary gives the fewest bytes wins.  Where the sizes are within
-one per cent (very short texts, one word over and over) the sizes of the text's distinct words are added,
+one per cent (very short texts, one word over and over) the sizes of its distinct words, each alone, are added,
 and if that ties too the language with more training rows wins.  ``score`` is 2 (second - best) / second
 over the sizes, at most 1; ``rejected`` marks texts whose score is below ``margin``.
 
@@ -52,8 +52,13 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     known = rows.where(lang.isNotNull() & text.isNotNull()).select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.lit(5), F.col(f"`{id_col}`")).alias("h"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    sample = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_ROWS).select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    if not counts:
+        return build([], [], sample_bytes)
+    # The least hashes of a language are looked for among about eight times as many, so few rows move.
+    share = F.pmod("h", F.lit(1 << 52)) / float(1 << 52)
+    bound = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 8.0 * SAMPLE_ROWS / n))) for x, n in counts.items()])
+    first = Window.partitionBy("lang").orderBy(share, "h", "text")
+    sample = known.where(share <= bound).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_ROWS)
     order = sorted(counts, key=lambda x: (-counts[x], x))
     return build(order, [(r["lang"], r["text"]) for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["k"]))], sample_bytes)
 
@@ -97,8 +102,8 @@ class Sizes:
             return self.languages[0], 1.0, False
         best, second = sorted(sizes)[:2]
         if second - best <= 0.01 * second + 1:
-            data = " ".join(dict.fromkeys(words)).encode()
-            sizes = [s + len(c.compress(data)) for s, c in zip(sizes, self.main, strict=True)]
+            alone = [f" {w} ".encode() for w in dict.fromkeys(words)]
+            sizes = [s + sum(len(c.compress(w)) for w in alone) for s, c in zip(sizes, self.main, strict=True)]
             best, second = sorted(sizes)[:2]
         score = min(1.0, 2.0 * (second - best) / second)
         return self.languages[sizes.index(best)], score, score < margin
