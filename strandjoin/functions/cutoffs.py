@@ -2,7 +2,7 @@
 
 For an overlap of n bases, each equal by chance with probability q, the score is 2K - n with K binomial.
 A cutoff bounds the chance that any overlap from the least allowed one up to the longest considered,
-on either side, reaches a higher score (Zhang et al. 2014, Bioinformatics 30(5):614-620).
+on either side, reaches a higher score.
 """
 
 from __future__ import annotations
