@@ -36,7 +36,7 @@ from .neardup import mix, word_hashes
 from .store import cut, small_batches, table
 
 WINDOW, GROUP, LEVELS = 20, 1_000_000, (1, 2, 3, 5, 8, 12)
-CHUNK_WORDS = 1_200_000  # words of the documents that a task holds at a time
+CHUNK_WORDS = 700_000  # words of the documents that a task holds at a time
 NO_ID = -(2**63)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
