@@ -91,21 +91,28 @@ def pair_score(x: Column, y: Column, ex: Column, ey: Column, method: int, freqs:
 
 
 class ScoreTable:
-    """(score, oes) by codes of (letter, quality) on either side; letters other than ACGTN keep their own codes for method 3."""
+    """(score, oes) by codes of (letter, quality) on either side, as flat arrays.
 
-    QUALITIES = 128
+    Letters are A, C, G, T, N and others; equal other letters, which only method 3 tells apart, are corrected by
+    ``lookup``.
+    """
+
+    QUALITIES, N_CODE, OTHER = 128, 4, 5
 
     def __init__(self, method: int, freqs: BaseFrequencies, base: int):
         self.method, self.base = method, base
         error = 10.0 ** (-(np.arange(self.QUALITIES) - base) / 10.0)
         ex, ey = error[:, None], error[None, :]
         n = self.QUALITIES
-        self.score, self.oes = np.zeros((5 * n, 5 * n)), np.zeros((5 * n, 5 * n))
-        for i in range(5):
-            for j in range(5):
-                if 4 in (i, j):
-                    e = np.full((n, n), 2 * freqs.q - 1)
-                    s = {1: e, 2: np.full((n, n), -(1 - freqs.q)), 3: np.full((n, n), -1.0)}[method]
+        self.width = 6 * n
+        score, oes = np.zeros((self.width, self.width)), np.zeros((self.width, self.width))
+        for i in range(6):
+            for j in range(6):
+                if self.N_CODE in (i, j):
+                    e = 2 * freqs.q - 1
+                    s = {1: e, 2: freqs.q - 1, 3: -1.0}[method]
+                elif self.OTHER in (i, j):
+                    s, e = -1.0 if method == 3 else 0.0, 0.0
                 elif i == j:
                     v = match_value(ex, ey, freqs.shares[i], freqs.q)
                     e = 2 * v - 1
@@ -114,25 +121,21 @@ class ScoreTable:
                     v = mismatch_value(ex, ey, freqs.shares[i], freqs.shares[j], freqs.q)
                     e = -(2 * v - 1)
                     s = _score("mismatch", v, e, method)
-                self.score[i * n : (i + 1) * n, j * n : (j + 1) * n] = s
-                self.oes[i * n : (i + 1) * n, j * n : (j + 1) * n] = e
-        self.letter = np.full(256, -1, dtype=np.int64)
+                score[i * n : (i + 1) * n, j * n : (j + 1) * n] = s
+                oes[i * n : (i + 1) * n, j * n : (j + 1) * n] = e
+        self.score, self.oes = score.ravel(), oes.ravel()
+        self.letter = np.full(256, self.OTHER, dtype=np.intp)
         for i, c in enumerate("ACGTN"):
             self.letter[ord(c)] = i
 
     def codes(self, seq: np.ndarray, qual: np.ndarray) -> np.ndarray:
-        """Row numbers of the tables; -1 where the letter is no base."""
-        k = self.letter[seq]
-        return np.where(k < 0, -1, k * self.QUALITIES + np.minimum(qual, self.QUALITIES - 1))
+        return self.letter[seq] * self.QUALITIES + np.minimum(qual, self.QUALITIES - 1)
 
     def lookup(self, table: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Values for codes a, b of letters x, y."""
-        out = table[a, b]
-        odd = (a < 0) | (b < 0)
-        if odd.any():
-            n_code = 4 * self.QUALITIES
-            called_n = (a >= n_code) | (b >= n_code)
-            plain = np.where(x == y, 1.0, -1.0) if table is self.score and self.method == 3 else 0.0
-            n_value = table[n_code, n_code]
-            out = np.where(odd, np.where(called_n, n_value, plain), out)
+        out = table.take(a * self.width + b)
+        if self.method == 3 and table is self.score:
+            same = (a >= self.OTHER * self.QUALITIES) & (x == y)
+            if same.any():
+                out = np.where(same, 1.0, out)
         return out
