@@ -13,9 +13,11 @@ Candidates are verified on the full sets, read again from the texts of the class
 
 Pairs within a bucket grow with the square of its size, so they are not made at once.  First each
 member is compared with the least class of its bucket.  Components of the links found are merged, and
-only buckets in which several components meet are looked at again: there, members of different
-components are compared by sketch, in blocks ordered by set size, two blocks to a task, leaving out
-blocks whose sizes cannot reach the threshold; pairs that the sketch cannot rule out are verified.
+only buckets in which several components meet are looked at again (those of a few bands first): there,
+blocks of members ordered by set size are compared by sketch, two blocks to a task, leaving out blocks whose
+sizes cannot reach the threshold.  Members with a candidate in another component are joined with their
+texts, and the task verifies the candidates, likely ones first, until their components are joined or none
+is left.  It returns a forest of links, never pairs of a whole group.
 Copies of one text thus cost one comparison each, and no bucket is capped.
 
 The sketch rules a pair out if its estimate is below the threshold by ``MARGIN``, which is more than five
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 from .store import cut, drop, small_batches, table
 
 SHINGLE, BANDS, ROWS, BITS, MARGIN, SEED = 4, 32, 5, 512, 0.22, 20240229
-BLOCK = 512
+BLOCK = 2_000_000  # shingles, and 500 for each set, of the sets of a block
+EARLY = 4
 EMPTY_KEY = b""
 
 
@@ -160,24 +163,75 @@ def verifier(shingle: int, numerator: int, denominator: int):
     return run
 
 
-def crossing(limit: int, numerator: int, denominator: int):
-    """Members of a bucket's two blocks -> pairs across components that sketch and size cannot rule out."""
+def _candidates(block, ids, n, comp, sketch, lo: int, hi: int, limit: int, numerator: int, denominator: int):
+    """Pairs of rows of two blocks in different components that size and sketch cannot rule out, row by row: (i, others, differing)."""
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    for i in left:
+        r = right[right > i] if lo == hi else right
+        r = r[(comp[r] != comp[i]) & (np.minimum(n[r], n[i]) * denominator >= numerator * np.maximum(n[r], n[i]))]
+        if len(r):
+            differing = np.bitwise_count(sketch[r] ^ sketch[i]).sum(axis=1)
+            near = differing <= limit
+            if near.any():
+                yield i, r[near], differing[near]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        block, ids, n, comp = (t.column(c).to_numpy() for c in ("block", "id", "n", "comp"))
-        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+
+def _columns(t: pa.Table) -> tuple:
+    block, ids, n, comp = (t.column(c).to_numpy() for c in ("block", "id", "n", "comp"))
+    sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+    return block, ids, n, comp, sketch
+
+
+def scout(limit: int, numerator: int, denominator: int):
+    """The members of two blocks that have a candidate in another component: at most all of them, never pairs."""
+
+    def run(t: pa.Table) -> pa.Table:
+        used = np.zeros(len(t), dtype=bool)
+        columns = _columns(t)
+        for i, r, _ in _candidates(*columns, t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), limit, numerator, denominator):
+            used[i] = True
+            used[r] = True
+        return t.filter(pa.array(used))
+
+    return run
+
+
+def joiner(shingle: int, limit: int, numerator: int, denominator: int):
+    """Links between the components of two blocks' members, on the full sets.
+
+    Likely pairs come first, and a pair is skipped once its components are joined, so the links of a block
+    are a forest: what is left out lies within a component already.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        block, ids, n, comp, sketch = columns = _columns(t)
+        texts = t.column("text")
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := parent.get(x, x)) != x:
+                x = y
+            return x
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i].as_py(), shingle)
+            return sets[i]
+
+        pairs = [(d, np.full(len(r), i), r) for i, r, d in _candidates(*columns, t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), limit, numerator, denominator)]
         a_out, b_out = [], []
-        for i in left:
-            r = right[right > i] if lo == hi else right
-            r = r[(comp[r] != comp[i]) & (np.minimum(n[r], n[i]) * denominator >= numerator * np.maximum(n[r], n[i]))]
-            if len(r):
-                r = r[np.bitwise_count(sketch[r] ^ sketch[i]).sum(axis=1) <= limit]
-                a_out.append(np.minimum(ids[r], ids[i])), b_out.append(np.maximum(ids[r], ids[i]))
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.array([], np.int64), pa.int64())
-        yield _batch({"a": flat(a_out), "b": flat(b_out)})
+        if pairs:
+            d, i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            for k in np.argsort(d, kind="stable"):
+                x, y = find(int(comp[i[k]])), find(int(comp[j[k]]))
+                if x != y:
+                    a, b = of(int(i[k])), of(int(j[k]))
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if denominator * both >= numerator * (len(a) + len(b) - both):
+                        parent[max(x, y)] = min(x, y)
+                        a_out.append(ids[i[k]]), b_out.append(ids[j[k]])
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
     return run
 
@@ -239,9 +293,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = alive.join(member.select("key", F.col("class_id").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key"])
     # One row for each band of a class; an id that stands for several classes is one vertex.
     heads = cut(heads.select("id", "n", "bands", "sketch"), "heads")
-    keys = heads.select("id", F.explode("bands").alias("band"))
+    keys = heads.select("id", F.posexplode("bands").alias("band_no", "band"))
     buckets = cut(keys.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("band", "head"), "buckets")
-    members = cut(keys.join(buckets, "band").select("band", "id", "head").distinct(), "bucketed")
+    members = cut(keys.join(buckets, "band").select("band", "band_no", "id", "head").distinct(), "bucketed")
     facts = heads.select("id", "n", "sketch")
     star = members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     near = (
@@ -254,15 +308,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = cut(_verified(cut(near.distinct(), "near"), docs, run).distinct(), "links")
     # Copies of a class are links too: an id may have rows with different sets.
     first = cut(components(links.unionAll(of_class.select(F.col("class_id").alias("a"), F.col("id").alias("b")))), "components")
-    labelled = members.join(first, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where("low < high").select("band", "many")
-    open_ = cut(labelled.join(mixed, "band").join(facts, "id"), "open")
-    extra = _cross(open_, limit, percent)
-    extra = cut(extra.distinct(), "crossing")
-    if not extra.isEmpty():
-        more = cut(_verified(extra, docs, run).distinct(), "more")
-        first = cut(components(links.unionAll(more).unionAll(of_class.select(F.col("class_id").alias("a"), F.col("id").alias("b")))), "components")
-    drop(heads, buckets, members, open_)
+    copies = of_class.select(F.col("class_id").alias("a"), F.col("id").alias("b"))
+    for some in (F.col("band_no") < EARLY, F.lit(True)):  # a few bands join most of what is left to join
+        labelled = members.where(some).join(first, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+        mixed = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("band")
+        open_ = cut(labelled.join(mixed, "band").join(facts, "id"), "open")
+        if not open_.isEmpty():
+            more = cut(_cross(open_, docs, shingle, limit, percent).distinct(), "more")
+            if not more.isEmpty():
+                links = links.unionAll(more)
+                first = cut(components(links.unionAll(copies)), "components")
+        drop(open_)
+    drop(heads, buckets, members)
     out = signed.select("id", F.col("n").alias("n_shingles"), "key").join(first, "id", "left").join(member, "key", "left")
     component = F.coalesce("comp", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"), F.coalesce("class_id", "id").alias("class_id"))
@@ -273,24 +330,24 @@ def sketches_near(a: str, b: str, bits: int, limit: int):
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(bits // 64)), F.lit(0)) <= limit
 
 
-def _cross(open_: DataFrame, limit: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs across components of buckets, made block by block."""
-    # Blocks are ordered by set size; a block number comes from size quantiles of large buckets only.
-    by_size = Window.partitionBy("band", "slice").orderBy("n", "id")
-    sliced = open_.withColumn("slice", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
-    sliced = sliced.withColumn("block", F.when(F.col("many") <= block, F.lit(0).cast("long")).otherwise(F.col("slice").cast("long") * 1_000_000 + F.floor((F.row_number().over(by_size) - 1) / block)))
-    blocks = sliced.select("band", "block", "slice", "many").distinct()
-    blocks = blocks.groupBy("band", "block").agg(F.min("slice").alias("s0"), F.max("slice").alias("s1"))
-    left, right = blocks.select("band", F.col("block").alias("lo"), F.col("s1").alias("reach")), blocks.select("band", F.col("block").alias("hi"), F.col("s0").alias("from"))
-    pairs = left.join(right, "band").where("lo <= hi AND `from` <= reach + 1")
-    tasks = pairs.select("band", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    rows = tasks.join(sliced.select("band", "block", "id", "n", "comp", "sketch"), ["band", "block"])
-    run = crossing(limit, percent, 100)
-
-    def each(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(t.to_batches())))
-
-    return rows.groupBy("band", "lo", "hi").applyInArrow(each, "a long, b long")
+def _cross(open_: DataFrame, docs: DataFrame, shingle: int, limit: int, percent: int, weight: int = BLOCK) -> DataFrame:
+    """Links across components of buckets (band, id, comp, n, sketch), found block by block."""
+    # Blocks are cut along the set sizes, so that each holds a bounded amount of text.
+    heavy = F.col("n") + 500
+    by_size = Window.partitionBy("band", "slice").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
+    total = open_.groupBy("band").agg(F.sum(heavy).alias("total"))
+    sliced = open_.join(total, "band").withColumn("slice", F.when(F.col("total") <= weight, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))).cast("int"))
+    sliced = sliced.withColumn("block", F.col("slice").cast("long") * 1_000_000 + F.floor(F.coalesce(F.sum(heavy).over(by_size), F.lit(0)) / weight))
+    blocks = sliced.select("band", "block", "slice").distinct()
+    left, right = blocks.select("band", F.col("block").alias("lo"), F.col("slice").alias("s0")), blocks.select("band", F.col("block").alias("hi"), F.col("slice").alias("s1"))
+    tasks = left.join(right, "band").where("lo <= hi AND s1 <= s0 + 1").select("band", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    columns = ["band", "lo", "hi", "block", "id", "n", "comp", "sketch"]
+    schema = "band long, lo long, hi long, block long, id long, n long, comp long, sketch array<long>"
+    rows = tasks.join(sliced, ["band", "block"]).select(*columns)
+    found = cut(rows.groupBy("band", "lo", "hi").applyInArrow(scout(limit, percent, 100), schema), "scouted")
+    wanted = found.select("id").distinct()
+    texts = docs.join(F.broadcast(wanted) if few_ids(wanted) else wanted, "id", "left_semi")
+    return found.join(texts, "id").select(*columns, "text").groupBy("band", "lo", "hi").applyInArrow(joiner(shingle, limit, percent, 100), "a long, b long")
 
 
 def op3_minhash_neardup(spark, sf_dir):
