@@ -1,9 +1,11 @@
 """Language identification by compression.
 
 Texts are normalised to lower-case words of letters.  For each language of the training rows a
-raw-content zstandard dictionary holds a bounded sample of such words.  A text is compressed once with
-each dictionary; the language whose dictionary gives the fewest bytes wins.  Where the sizes are within
-one per cent (very short texts, one word over and over) the sizes of its distinct words, each alone, are added,
+raw-content zstandard dictionary holds a bounded sample of such words.  A text is compressed with each
+dictionary, in blocks of ``BLOCK_CHARS`` that each start from the dictionary alone, and the sizes of all its blocks
+are added: what a dictionary can gain is bounded for each block and not for the text, so the score does not fall
+with its length.  The language whose dictionary gives the fewest bytes wins.  Where the sizes are within
+one per cent (very short texts, one word over and over) the sizes of each block's distinct words, each alone, are added,
 and if that ties too the language with more training rows wins.  ``score`` is 2 (second - best) / second
 over the sizes, at most 1; ``rejected`` marks texts whose score is below ``margin``.
 
@@ -35,6 +37,7 @@ from .store import small_batches, table, without
 OUT = ("lang_pred", "score", "rejected")
 SAMPLE_BYTES, SAMPLE_CHARS, LEVEL, MARGIN = 32_768, 1_500, 9, 0.002
 SAMPLE_ROWS = 256
+BLOCK_CHARS = 8_192
 SHARED = 5
 _WORD = re.compile(r"[^\W\d_]+")
 _models: dict = {}
@@ -95,15 +98,15 @@ class Sizes:
     def decide(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         if text is None or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0, True
-        words = _WORD.findall(text.lower())
-        data = " ".join(words).encode()
-        sizes = [len(c.compress(data)) for c in self.main]
+        data = letters(text)
+        blocks = [data[i : i + BLOCK_CHARS] for i in range(0, len(data), BLOCK_CHARS)]
+        sizes = [sum(len(c.compress(b.encode())) for b in blocks) for c in self.main]
         if len(sizes) == 1:
             return self.languages[0], 1.0, False
         best, second = sorted(sizes)[:2]
         if second - best <= 0.01 * second + 1:
-            alone = [f" {w} ".encode() for w in dict.fromkeys(words)]
-            sizes = [s + sum(len(c.compress(w)) for w in alone) for s, c in zip(sizes, self.main, strict=True)]
+            alone = [(f" {w} ".encode(), n) for w, n in Counter(w for b in blocks for w in set(b.split())).items()]
+            sizes = [s + sum(n * len(c.compress(w)) for w, n in alone) for s, c in zip(sizes, self.main, strict=True)]
             best, second = sorted(sizes)[:2]
         score = min(1.0, 2.0 * (second - best) / second)
         return self.languages[sizes.index(best)], score, score < margin

@@ -328,6 +328,21 @@ def test_language_edge_cases(spark):
     assert language.identify(empty(spark), model).count() == 0
 
 
+def test_languages_of_long_texts_are_not_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs.where(~language.held_out()))
+    sizes = language.Sizes(model, language.LEVEL)
+    by = {}
+    for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").collect():
+        by.setdefault(r["lang"], []).append(r["text"])
+    for x, texts in by.items():
+        once = "\n".join(texts)
+        long = (once + "\n") * (1 + 10_000_000 // len(once))
+        (_, first, _), (found, score, rejected) = sizes.decide(once, language.MARGIN), sizes.decide(long, language.MARGIN)
+        assert len(long) >= 10_000_000 and found == x and not rejected and abs(score - first) < 0.1 * first, (x, first, score)
+    assert sizes.decide("the " * 2_500_000, language.MARGIN)[2] == sizes.decide("the " * 2_000, language.MARGIN)[2]
+
+
 # ---- shards ----
 
 
