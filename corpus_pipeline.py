@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 again as the next stage's ``docs``.  All but the last return the columns they were given.
 
 * language: learned from the stage's own labelled rows that are not held out; rejected texts go;
-* near copies: of each component the document with the least id stays; documents without an id or
+* near copies (sets of five-word shingles, 0.8): of each component the document with the least id stays; documents without an id or
   without words are linked with nothing and stay;
 * decontamination: contaminated documents go;
 * secrets: every span is replaced by a mark, and ``n_chars`` follows where a text changed;
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from strandjoin.llm import decontaminate, language, neardup, packing, secrets
 from strandjoin.llm.store import cut, table
 
+#: Words of a shingle in the near-dedup stage; op3_minhash_neardup has four.
+SHINGLE = 5
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~language.held_out()))
@@ -27,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    result = cut(neardup.near_duplicates(docs), "kept")
+    result = cut(neardup.near_duplicates(docs, shingle=SHINGLE), "kept")
     kept = result.where("kept").select("doc_id").distinct()
     few = neardup.few_ids(kept)
     stays = docs.join(F.broadcast(kept) if few else kept, "doc_id", "left_semi")

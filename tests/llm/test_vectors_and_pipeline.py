@@ -121,6 +121,19 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     del language
 
 
+def test_near_dedup_stage_takes_five_words(spark):
+    import corpus_pipeline
+    from tests.llm import brute
+
+    words = [f"w{i}" for i in range(200)]
+    edited = lambda *at: " ".join("new" if i in at else w for i, w in enumerate(words))
+    docs = [(1, edited()), (2, edited(20, 60, 100, 140, 180)), (3, edited(100)), (4, "another text")]
+    alike = lambda i, n: len((a := brute.shingles(docs[0][1], n)) & (b := brute.shingles(docs[i][1], n))) / len(a | b)
+    assert alike(1, 5) < 0.8 <= alike(1, 4) and alike(2, 5) >= 0.8
+    df = spark.createDataFrame([docs[0], docs[1], docs[3], (5, docs[0][1])], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {1, 2, 4}
+
+
 @pytest.mark.parametrize("name", ["documents", "benchmark"])
 def test_pipeline_of_empty_tables(spark, tmp_path, name):
     import corpus_pipeline
