@@ -1,9 +1,9 @@
 """License scans by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences; sentences with a word that licences use are normalised (lower case,
-comment marks and punctuation dropped, white space folded, version numbers taken out; lines that only
-name a copyright holder are passed over) and looked up
-among known licence sentences, each with an identifier.  The document's sequence of identifiers is then
+comment marks and punctuation dropped, white space folded; lines that only
+name a copyright holder are passed over) and searched for known licence sentences, each with an identifier.
+A known sentence may begin and end at any line, or part before a colon or semicolon, and may be wrapped.  The document's sequence of identifiers is then
 matched against ordered licence rules: a rule is a run of identifiers, longer and more specific rules
 come first, and what a rule has matched is taken out before the next one looks.  Sentences with licence
 words that are not known are kept as ``unknown`` in the sequence, so a run never reaches across one.
@@ -99,17 +99,41 @@ RULES = (
 VERSION = r"[0-9]+(?:\.[0-9]+)*"
 SPDX = r"(?i)spdx-license-identifier=([A-Za-z0-9.+-]+)"
 
+#: A known sentence without a critical word, which counts only in texts that have one elsewhere.
+PLAIN = r"(?i)\brights\W+reserved\b"
+
+#: Known sentences in the text of ``lines``: each begins and ends with a line, and may be wrapped over several.
+KNOWN = r"(?<![^|])(" + "|".join("[ |]".join("[0-9.]+" if w == "#" else w for w in s.split(" ")) for s in sorted(SENTENCES, key=lambda s: (-len(s), s))) + r")(?![^|])"
+
 
 def sentences(text: Column) -> Column:
-    """Sentences of a text: comment marks go, SPDX lines stand alone, wrapped lines are joined unless the line before ended a sentence."""
+    """Sentences of a text: comment marks go, SPDX lines stand alone; an abbreviated version (v. 2) ends none."""
     t = F.regexp_replace(text, r"(?m)^[ \t]*(?://+|#+|/?\*+/?|--+|;+|%+)[ \t]?", "")
     t = F.regexp_replace(t, r"(?i)(spdx-license-identifier):\s*([A-Za-z0-9.+-]+)", "\n\n$1=$2\n\n")
-    return F.split(t, r"(?<=[.!?;:])\s+|\n\s*\n")
+    return F.split(t, r"(?i)(?<=[.!?])(?<!\bv\.)\s+|\n\s*\n")
+
+
+def lines(sentence: Column) -> Column:
+    """A sentence in lower case with words and version numbers only; ``|`` stands where a line, or a part before ``;`` or ``:``, ends.
+
+    In a line that begins with copyright each part is one, as what follows the holder may be a licence.
+    """
+    s = F.regexp_replace(sentence, r"[;:]\s+", "\n")
+    s = F.when(s.rlike(r"(?im)^\W*copyright\b"), F.array_join(F.transform(F.split(s, "\n"), lambda x: F.when(x.rlike(r"(?i)^\W*copyright\b"), F.regexp_replace(x, r",\s*|\s[-–—]+\s|[()]", "\n")).otherwise(x)), "\n")).otherwise(s)
+    s = F.regexp_replace(F.lower(s), r"[^a-z0-9.\n]+", " ")
+    s = F.regexp_replace(s, r"(?<![0-9])\.|\.(?![0-9])", " ")
+    s = F.regexp_replace(s, r"[0-9][0-9.]*", " $0 ")
+    return trimmed(F.regexp_replace(F.regexp_replace(s, r"\s*\n\s*", "|"), " +", " "))
 
 
-def normalised(sentence: Column) -> Column:
-    s = F.regexp_replace(F.lower(sentence), VERSION, " # ")
-    return F.trim(F.regexp_replace(s, r"[^a-z#]+", " "))
+def trimmed(s: Column) -> Column:
+    return F.regexp_replace(s, r"^[ |]+|[ |]+$", "")
+
+
+def unknown(part: Column) -> Column:
+    """Whether licence words stand in what is between known sentences, besides lines that only name a copyright holder."""
+    other = F.filter(F.split(part, r"\|"), lambda x: ~x.startswith("copyright") | F.regexp_replace(x, "^copyright", "").rlike(CRITICAL))
+    return F.array_join(other, " ").rlike(CRITICAL)
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,14 +142,18 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
 
+    def named(part: Column) -> Column:
+        key = F.regexp_replace(F.translate(part, "|", " "), VERSION, "#")
+        return F.struct(F.coalesce(F.try_element_at(known, key), F.lit("unknown")).alias("id"), F.regexp_extract(part, VERSION, 0).alias("version"))
+
     def recognise(s: Column) -> Column:
         spdx = F.regexp_extract(s, SPDX, 1)
-        name = F.when(spdx != "", F.lit("spdx")).otherwise(F.coalesce(F.try_element_at(known, normalised(s)), F.lit("unknown")))
-        version = F.when(spdx != "", spdx).otherwise(F.regexp_extract(s, VERSION, 0))
-        return F.struct(name.alias("id"), version.alias("version"))
+        parts = F.transform(F.split(F.regexp_replace(lines(s), KNOWN, "\n$1\n"), "\n"), trimmed)
+        rest = F.filter(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(x.alias("part"), named(x).alias("named"))), lambda x: (x["named"]["id"] != "unknown") | unknown(x["part"]))
+        return F.when(spdx != "", F.array(F.struct(F.lit("spdx").alias("id"), spdx.alias("version")))).otherwise(F.transform(rest, lambda x: x["named"]))
 
-    worth = F.filter(sentences(text), lambda s: (s.rlike(CRITICAL) & ~normalised(s).startswith("copyright")) | F.exists(F.array(*[F.lit(x) for x in PLAIN]), lambda p: normalised(s) == p))
-    found = F.when(text.rlike(CRITICAL), F.transform(worth, recognise)).otherwise(F.array().cast("array<struct<id:string,version:string>>"))
+    worth = F.filter(sentences(text), lambda s: s.rlike(CRITICAL) | s.rlike(PLAIN))
+    found = F.when(text.rlike(CRITICAL), F.flatten(F.transform(worth, recognise))).otherwise(F.array().cast("array<struct<id:string,version:string>>"))
 
     def apply(state: Column, rule: Column) -> Column:
         fits = F.contains(state["rest"], rule["run"])
@@ -150,10 +178,6 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-#: Known sentences without a critical word, which count only in texts that have one elsewhere.
-PLAIN = tuple(s for s in SENTENCES if s in ("you may obtain a copy of the license at", "all rights reserved"))
-
-
 def op1_license_scan(spark, sf_dir):
     """Licences of every whole text."""
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))

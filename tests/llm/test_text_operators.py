@@ -125,6 +125,34 @@ def test_rules_are_ordered_and_take_out_what_they_match(spark):
     assert (got["licenses"], got["license_status"]) == (["BSD-3-Clause"], "known")
 
 
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+GPL2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+
+
+def scanned(spark, texts):
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    return [(got[i]["licenses"], got[i]["license_status"]) for i in range(len(texts))]
+
+
+def test_known_sentences_in_their_punctuation_and_lines(spark):
+    assert scanned(spark, [GPL3, GPL2, MPL]) == [(["GPL-3+"], "known"), (["GPL-2+"], "known"), (["MPL-2.0"], "known")]
+    joined = ["A title without a stop\nReleased under the MIT License.\nmore", "Some words\nLicensed under the Apache License,\nVersion 2.0\nand words", "Licensed under CC BY-NC 4.0\nReleased under the MIT License"]
+    assert scanned(spark, joined) == [(["MIT"], "known"), (["Apache-2.0"], "known"), (["MIT", "CC-BY-NC-4.0"], "known")]
+    every = [f"Words\n{s.replace('#', '2.0')}\nwords" for s in licenses.SENTENCES]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(f"A licence. {t}" for t in every)), SCHEMA))
+    assert {r["doc_id"]: r["license_sentences"] for r in got.collect()} == {i: ["unknown", x] for i, x in enumerate(licenses.SENTENCES.values())}
+
+
 # ---- contamination ----
 
 
