@@ -26,7 +26,7 @@ from .store import table, without
 OUT = ("license_sentences", "n_license_sentences", "licenses", "license_status")
 
 # Words that make a sentence worth a look.
-CRITICAL = r"(?i)\b(licen[cs]e[ds]?|licensing|copyright|spdx|warrant(?:y|ies)|redistribut\w*|public domain|permission is|creative commons|cc by|cc0)\b"
+CRITICAL = r"(?i)\b(licen[cs]e[ds]?|licensing|copyright|spdx|warrant(?:y|ies)|redistribut\w*|public\W+domain|permission\W+is|creative\W+commons|cc\W+by|cc ?0|rights\W+reserved)\b"
 
 # Known sentences after normalisation (versions as #) and their identifiers.
 SENTENCES = {
@@ -99,8 +99,9 @@ RULES = (
 VERSION = r"[0-9]+(?:\.[0-9]+)*"
 SPDX = r"(?i)spdx-license-identifier=([A-Za-z0-9.+-]+)"
 
-#: A known sentence without a critical word, which counts only in texts that have one elsewhere.
-PLAIN = r"(?i)\brights\W+reserved\b"
+#: A line that begins with a copyright holder, and where the holder may end in it.
+HOLDER = r"(?i)^\W*(?:\(c\)\W*)?copyright\b"
+HOLDER_END = r"(?i),\s*|\s[-–—]+\s|[()]|\s+(?=all\s+rights\s+reserved|(?:licensed|released)\s+under)"
 
 #: Known sentences in the text of ``lines``: each begins and ends with a line, and may be wrapped over several.
 KNOWN = r"(?<![^|])(" + "|".join("[ |]".join("[0-9.]+" if w == "#" else w for w in s.split(" ")) for s in sorted(SENTENCES, key=lambda s: (-len(s), s))) + r")(?![^|])"
@@ -119,7 +120,8 @@ def lines(sentence: Column) -> Column:
     In a line that begins with copyright each part is one, as what follows the holder may be a licence.
     """
     s = F.regexp_replace(sentence, r"[;:]\s+", "\n")
-    s = F.when(s.rlike(r"(?im)^\W*copyright\b"), F.array_join(F.transform(F.split(s, "\n"), lambda x: F.when(x.rlike(r"(?i)^\W*copyright\b"), F.regexp_replace(x, r",\s*|\s[-–—]+\s|[()]", "\n")).otherwise(x)), "\n")).otherwise(s)
+    parts = lambda x: F.when(x.rlike(HOLDER), F.regexp_replace(x, HOLDER_END, "\n")).otherwise(x)
+    s = F.when(s.rlike("(?m)" + HOLDER), F.array_join(F.transform(F.split(s, "\n"), parts), "\n")).otherwise(s)
     s = F.regexp_replace(F.lower(s), r"[^a-z0-9.\n]+", " ")
     s = F.regexp_replace(s, r"(?<![0-9])\.|\.(?![0-9])", " ")
     s = F.regexp_replace(s, r"[0-9][0-9.]*", " $0 ")
@@ -152,7 +154,7 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
         rest = F.filter(F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(x.alias("part"), named(x).alias("named"))), lambda x: (x["named"]["id"] != "unknown") | unknown(x["part"]))
         return F.when(spdx != "", F.array(F.struct(F.lit("spdx").alias("id"), spdx.alias("version")))).otherwise(F.transform(rest, lambda x: x["named"]))
 
-    worth = F.filter(sentences(text), lambda s: s.rlike(CRITICAL) | s.rlike(PLAIN))
+    worth = F.filter(sentences(text), lambda s: s.rlike(CRITICAL))
     found = F.when(text.rlike(CRITICAL), F.flatten(F.transform(worth, recognise))).otherwise(F.array().cast("array<struct<id:string,version:string>>"))
 
     def apply(state: Column, rule: Column) -> Column:

@@ -153,6 +153,18 @@ def test_known_sentences_in_their_punctuation_and_lines(spark):
     assert {r["doc_id"]: r["license_sentences"] for r in got.collect()} == {i: ["unknown", x] for i, x in enumerate(licenses.SENTENCES.values())}
 
 
+def test_licences_without_other_words_and_after_holders(spark):
+    import re
+
+    assert all(re.search(licenses.CRITICAL, s) for s in licenses.SENTENCES)
+    texts = [
+        "Words.\nAll rights reserved.", "// All rights\n// reserved.", "Copyright 2020 X, all rights reserved.", "Copyright 2020 X<br>\nLicensed under the Apache License, Version 2.0",
+        "(c) Copyright 2020 X All Rights Reserved", "Copyright (c) 2020 X, Inc.\nReleased under the MIT License.", "This work is in the public\ndomain.", "Copyright 2020 X, Y (Z)", "Copyright 2020 X, under our own licence",
+    ]
+    own, none = (["proprietary"], "known"), ([], "none")
+    assert scanned(spark, texts) == [own, own, own, (["Apache-2.0"], "known"), own, (["MIT"], "known"), (["public-domain"], "known"), none, ([], "unknown")]
+
+
 # ---- contamination ----
 
 
