@@ -5,7 +5,8 @@ comment marks and punctuation dropped, white space folded; lines that only
 name a copyright holder are passed over) and searched for known licence sentences, each with an identifier.
 A known sentence may begin and end at any line, or part before a colon or semicolon, and may be wrapped.  The document's sequence of identifiers is then
 matched against ordered licence rules: a rule is a run of identifiers, longer and more specific rules
-come first, and what a rule has matched is taken out before the next one looks.  Sentences with licence
+come first, and what a rule has matched is taken out before the next one looks.  Each run gives a licence with
+the run's own version, or one for each identifier of an SPDX expression (an exception stays with its licence); equal ones are listed once.  Sentences with licence
 words that are not known are kept as ``unknown`` in the sequence, so a run never reaches across one.
 
 ``status``: ``none`` (no licence words), ``known`` (every sentence with licence words was used by a rule),
@@ -18,6 +19,8 @@ one narrow projection.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +72,7 @@ SENTENCES = {
     "this source code form is subject to the terms of the mozilla public license v #": "mpl.notice",
 }
 
-# Licence rules in the order in which they are tried; # is the version of the first sentence that has one.
+# Licence rules in the order in which they are tried; # is the version of the run's first sentence that has one.
 RULES = (
     ("Apache-#", ("apache.notice", "apache.comply", "apache.copy", "apache.asis", "apache.see")),
     ("Apache-#", ("apache.notice", "apache.comply", "apache.copy")),
@@ -97,7 +100,10 @@ RULES = (
 )
 
 VERSION = r"[0-9]+(?:\.[0-9]+)*"
-SPDX = r"(?i)spdx-license-identifier=([A-Za-z0-9.+-]+)"
+#: One identifier, and an expression of them.
+SPDX_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?(?::[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?)?"
+SPDX_LIST = rf"[( \t]*{SPDX_ID}(?:[ \t]*\))*(?:[ \t]+(?:AND|OR|WITH)[( \t]+{SPDX_ID}(?:[ \t]*\))*)*"
+SPDX = rf"(?i)spdx-license-identifier=({SPDX_LIST})"
 
 #: A line that begins with a copyright holder, and where the holder may end in it.
 HOLDER = r"(?i)^\W*(?:\(c\)\W*)?copyright\b"
@@ -110,7 +116,7 @@ KNOWN = r"(?<![^|])(" + "|".join("[ |]".join("[0-9.]+" if w == "#" else w for w
 def sentences(text: Column) -> Column:
     """Sentences of a text: comment marks go, SPDX lines stand alone; an abbreviated version (v. 2) ends none."""
     t = F.regexp_replace(text, r"(?m)^[ \t]*(?://+|#+|/?\*+/?|--+|;+|%+)[ \t]?", "")
-    t = F.regexp_replace(t, r"(?i)(spdx-license-identifier):\s*([A-Za-z0-9.+-]+)", "\n\n$1=$2\n\n")
+    t = F.regexp_replace(t, r"(?i)(spdx-license-identifier):\s*(" + SPDX_LIST + ")", "\n\n$1=$2\n\n")
     return F.split(t, r"(?i)(?<=[.!?])(?<!\bv\.)\s+|\n\s*\n")
 
 
@@ -157,14 +163,19 @@ def scan_licenses(df: DataFrame, text_col: str = "text") -> DataFrame:
     worth = F.filter(sentences(text), lambda s: s.rlike(CRITICAL))
     found = F.when(text.rlike(CRITICAL), F.flatten(F.transform(worth, recognise))).otherwise(F.array().cast("array<struct<id:string,version:string>>"))
 
+    def names(license: Column, run: Column) -> Column:
+        """Of one run: its own version, or each identifier of its expression."""
+        version = F.regexp_extract(run, "=([^,]+),", 1)
+        each = F.filter(F.regexp_extract_all(version, F.lit(rf"(?i){SPDX_ID}(?:\s+WITH\s+{SPDX_ID})?"), F.lit(0)), lambda x: ~F.upper(x).isin("AND", "OR"))
+        return F.when(run.startswith(",spdx="), F.transform(each, lambda x: F.replace(license, F.lit("#"), x))).otherwise(F.array(F.replace(license, F.lit("#"), version)))
+
     def apply(state: Column, rule: Column) -> Column:
-        fits = F.contains(state["rest"], rule["run"])
-        first = F.get(F.filter("_sent", lambda x: (x["id"] == rule["first"]) & (x["version"] != "")), F.lit(0))["version"]
-        name = F.replace(rule["license"], F.lit("#"), F.coalesce(first, F.lit("")))
-        return F.when(fits, F.struct(F.replace(state["rest"], rule["run"], F.lit(",used,")).alias("rest"), F.array_append(state["out"], name).alias("out"))).otherwise(state)
+        runs = F.regexp_extract_all(state["rest"], rule["run"], F.lit(0))
+        out = F.concat(state["out"], F.flatten(F.transform(runs, lambda x: names(rule["license"], x))))
+        return F.when(F.size(runs) > 0, F.struct(F.regexp_replace(state["rest"], rule["run"], F.lit(",used,")).alias("rest"), out.alias("out"))).otherwise(state)
 
-    rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit("," + ",,".join(run) + ",").alias("run"), F.lit(run[0]).alias("first")) for name, run in RULES])
-    zero = F.struct(F.concat(F.lit(","), F.array_join(F.transform("_sent", lambda x: x["id"]), ",,"), F.lit(",")).alias("rest"), F.array().cast("array<string>").alias("out"))
+    rules = F.array(*[F.struct(F.lit(name).alias("license"), F.lit("".join(f",{re.escape(x)}=[^,]*," for x in run)).alias("run")) for name, run in RULES])
+    zero = F.struct(F.concat(F.lit(","), F.array_join(F.transform("_sent", lambda x: F.concat(x["id"], F.lit("="), x["version"])), ",,"), F.lit(",")).alias("rest"), F.array().cast("array<string>").alias("out"))
     state = F.when(F.size("_sent") > 0, F.aggregate(rules, zero, apply))
     rest = F.col("_state")["rest"]
     left = F.replace(rest, F.lit(",used,"), F.lit(""))

@@ -165,6 +165,16 @@ def test_licences_without_other_words_and_after_holders(spark):
     assert scanned(spark, texts) == [own, own, own, (["Apache-2.0"], "known"), own, (["MIT"], "known"), (["public-domain"], "known"), none, ([], "unknown")]
 
 
+def test_every_run_of_a_rule_gives_its_licence(spark):
+    texts = [
+        "SPDX-License-Identifier: MIT\ncode\n# SPDX-License-Identifier: GPL-2.0-only\n", "Licensed under CC BY 3.0. Licensed under CC BY 4.0.", "// SPDX-License-Identifier: MIT OR Apache-2.0",
+        "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND (MIT or BSD-3-Clause))\nx", "Released under the MIT License. Text. Released under the MIT License.", "See SPDX-License-Identifier: MIT. Text",
+    ]
+    got = scanned(spark, texts)
+    assert got[0] == (["SPDX:MIT", "SPDX:GPL-2.0-only"], "known") and got[1] == (["CC-BY-3.0", "CC-BY-4.0"], "known") and got[2] == (["SPDX:MIT", "SPDX:Apache-2.0"], "known")
+    assert got[3] == (["SPDX:GPL-2.0-only WITH Classpath-exception-2.0", "SPDX:MIT", "SPDX:BSD-3-Clause"], "known") and got[4] == (["MIT"], "known") and got[5][0] == ["SPDX:MIT"]
+
+
 # ---- contamination ----
 
 
