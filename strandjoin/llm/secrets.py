@@ -9,9 +9,10 @@ Base kinds (their spans are of the whole match, in code points, end exclusive):
 The method adds ``entropy`` spans: runs of 20 or more characters of the base64 alphabet are candidate
 strings.  A window slides over each; for each character class the Shannon entropy of the window's
 characters of that class is kept from counts that change by one character in and one out.  A
-candidate becomes a span if its best windows pass the limits of two classes or more, unless the allow-list
-suppresses it: it overlaps a base span, it is a path or a dashed identifier of words, or it has characters of too few
-classes, as words have.
+candidate of three classes becomes a span if its best windows pass the limits of two classes or more; one of fewer classes
+if the entropy of a window's letters and digits together passes a higher limit, which words do not reach.  Candidates that overlap
+a base span are suppressed, and paths and dashed identifiers are judged by what is left without their word-like parts.
+Letters of one case alone are the weak spot: short random ones (about a quarter of those of 20 letters) look like words.
 
 A null text has no spans, like an empty one.  No row is dropped; repeated rows give repeated results.
 Columns named like the outputs are replaced.  Everything is one narrow projection.
@@ -36,10 +37,14 @@ OUT = ("n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans", "se
 WINDOW = 16
 #: Class of characters, and the entropy in bits that a window must exceed.
 CLASSES = (("A-Z", 1.9), ("a-z", 1.9), ("0-9", 1.9))
-#: A candidate needs characters of at least so many classes, and so many classes over their limits; words, file names and identifiers have fewer.
-LEAST_CLASSES, LEAST_HIGH = 3, 2
-#: Suppressed candidates: paths and dashed or underscored identifiers of words.
+#: So many classes over their limits make a candidate of three classes a span.
+LEAST_HIGH = 2
+#: Limits, for all letters and digits of a window together, of candidates of letters, and of letters of one case with digits.
+LETTERS, MIXED = 3.6, 3.4
+#: Suppressed unless something else than word-like parts stands in them: paths and dashed or underscored identifiers of words.
 ALLOW = r"^(/|\./|\.\./)|^([A-Za-z]+[-_/=])+[A-Za-z]*$|^[-_=+/]+$|^[0-9-]+$"
+#: A word-like part of a candidate, and a part of a name in camel case.
+WORDLIKE, HUMP = r"^[A-Za-z]{0,19}[0-9]{0,4}$", r"[A-Z]{1,3}[a-z]{2,}"
 
 SPAN = "array<struct<kind:string,start:int,stop:int,secret:string>>"
 
@@ -92,11 +97,23 @@ def window_entropy(s: Column, chars: str, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(s)), zero, step, lambda st: F.round(st["best"], 6))
 
 
+def high(s: Column) -> Column:
+    """Whether windows of enough classes are over their limits."""
+    return sum(((window_entropy(s, c) > limit).cast("int") for c, limit in CLASSES), F.lit(0)) >= LEAST_HIGH
+
+
 def suspicious(s: Column) -> Column:
-    """A candidate string that the entropy rule reports: enough classes, not allow-listed, and windows of enough classes over their limits."""
-    classes = sum((s.rlike(f"[{c}]").cast("int") for c, _ in CLASSES), F.lit(0))
-    high = sum(((window_entropy(s, c) > limit).cast("int") for c, limit in CLASSES), F.lit(0))
-    return F.when((classes >= LEAST_CLASSES) & ~s.rlike(ALLOW), high >= LEAST_HIGH).otherwise(F.lit(False))
+    """A candidate string that the entropy rule reports: as a whole, or what is left of it without its word-like parts."""
+    classes = lambda x: sum((x.rlike(f"[{c}]").cast("int") for c, _ in CLASSES), F.lit(0))
+
+    def judged(x: Column) -> Column:
+        together = window_entropy(x, "A-Za-z0-9")
+        camel = x.rlike("[A-Z]") & F.regexp_replace(x, HUMP, "").rlike("^[a-z]*[0-9]{0,4}$")
+        return F.when(F.char_length(x) < WINDOW, False).when(x.rlike("^[A-Za-z/]+[0-9]{0,4}$"), ~camel & (together > LETTERS)).when(classes(x) >= 3, high(x)).otherwise(together > MIXED)
+
+    rest = F.array_join(F.filter(F.split(s, "[-_/=+]"), lambda x: ~x.rlike(WORDLIKE)), "/")
+    whole = F.when((classes(s) >= 3) & ~s.rlike(ALLOW), high(s)).otherwise(F.lit(False))
+    return whole | F.exists(F.array(rest), judged)
 
 
 def scan_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -78,6 +78,15 @@ def test_entropy_spans_and_allow_list(spark):
     assert not got[11] and not got[12] and not got[0]
 
 
+def test_entropy_of_few_classes_and_of_paths(spark):
+    secret = ["q7x2m9k4v8z1w5t3j6r0b2h8", "JBSWY3DPEHPK3PXQ7ZNL4TGM2VCF6RAO", "qzxkvjwpthgmbnrcdlfsyeua", "//host/services/T02AB3CDE/B04FG5HIJ/aB3dE6gH9jK2mN5pQ8sT1vW4", "/Ab3dE6gH9jK2mN5pQ8sT1vW4xY7zC0q"]
+    clean = ["/usr/local/lib/Python3/site/packages/Module9x", "AbstractSingletonProxyFactoryBean", "getElementsByClassNameAndTag", "some_long_snake_case_name_of_2024", "uncharacteristically", "internationalization2024", "chpfheitschverheiten", "src/main/java/Request2Handler"]
+    df = spark.createDataFrame([(i, f"see {x} end") for i, x in enumerate(secret + clean)], SCHEMA)
+    got = {r["doc_id"]: [x["secret"] for x in r["secrets"]] for r in secrets.scan_secrets(df).collect()}
+    assert [got[i] for i in range(len(got))] == [[x] for x in secret] + [[]] * len(clean)
+    assert all("[SECRET]" in r["text"] for r in secrets.redact_secrets(df.where(F.col("doc_id") < len(secret))).collect())
+
+
 def test_window_entropy_is_that_of_each_window(spark):
     import math
     from collections import Counter
