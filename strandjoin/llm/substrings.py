@@ -1,25 +1,29 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-A repeat of ``window`` words is a node of the generalised suffix tree at that depth or deeper, with more
-than one suffix below it.  The tree is never held in one place:
-
-1. one pass counts suffixes by the cells of their prefixes of 1, 2, 3, 5, ... words, over all documents
+A repeat of ``window`` words is an internal node of the generalised suffix tree at that depth or deeper.  The
+tree is never held in one place:
+
+1. every window has an anchor, the place in it whose ``ANCHOR`` words have the least hash.  It depends on the words of the window
+   alone, so equal windows have it at the same distance.  A window is filed under the suffix that starts at its anchor, and
+   neighbouring windows with one anchor travel together, as one segment of the text: about three words for each window
+   where a suffix for each would take ``window``;
+2. one pass counts windows by the cells of the prefixes of 1, 2, 3 and 4 words of their suffixes, over all documents
    (cells are hash ranges, so the statistic has a fixed size however many distinct prefixes there are);
-2. a suffix belongs to the first of its prefixes whose cell fits into memory: common prefixes are
-   lengthened, rare ones stay short.  Cells are packed into groups of about ``group_size`` suffixes;
-3. each group's subtree is built in one task.  Nodes above the window depth tell nothing about
-   repeats and deeper ones only extend them, so the subtree is kept as its cut at that depth: the
-   suffixes sorted by the digest of their first ``window`` words, a node for each digest;
-4. below each node all suffixes but the first (smallest document, then earliest start) are repeats.
-   Their words are removed; runs of neighbouring starts are the maximal repeats.
-
-Suffixes travel packed, ten bytes each, without their text.  Equal windows of one chunk of documents
-are folded before they travel (only the first is sent), so a passage in a third of all documents is
-one suffix for each chunk.  Windows are compared by 56 bits of digest within groups that are
-themselves chosen by other hash bits of the words.
-
-A null text has no words.  Rows with equal ids are one document for the order: none of two equal
-starts is earlier.  A null id comes before all others.
+3. a suffix belongs to the first of its prefixes whose cell fits into memory: common prefixes are
+   lengthened, rare ones stay short.  Cells are packed into groups of about ``group_size`` windows; a cell that is too
+   large at the longest prefix is dealt by whole windows instead;
+4. each group's subtree is built in one task from the words themselves: the suffixes are brought into the order of their first
+   ``window`` words and each is compared, word by word, with the first suffix of its node.  Digests only bring equal suffixes
+   together, so one that collides costs time and never a word;
+5. below each node all suffixes but the first (smallest document, then earliest start) are repeats: their
+   words are removed; runs of neighbouring starts are the maximal repeats.
+
+Equal segments of one chunk of documents (compared by their bytes) are folded before they travel: only the first is sent, so a passage
+in a third of all documents is a few segments for each chunk.
+
+A null text has no words, and very long texts are taken whole.  Rows with equal ids are one document for the order: none of two equal
+starts is earlier, and each row loses only words of its own text.  A null id comes before all others.  An empty table gives an
+empty table.  Only the id and the outputs are returned, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,188 +36,320 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import mix, word_hashes
+from .neardup import mix
 from .store import cut, small_batches, table
 
-WINDOW, GROUP, LEVELS = 20, 1_000_000, (1, 2, 3, 5, 8, 12)
+WINDOW, GROUP, ANCHOR = 20, 1_000_000, 4
 CHUNK_WORDS = 700_000  # words of the documents that a task holds at a time
+MOST_PARTITIONS = 20_000
 NO_ID = -(2**63)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Hashes(dict):
+    """Word -> 64-bit hash; forgets when it grows large."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+class Numbers(dict):
+    """Word -> its number, in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+_hashes = Hashes()
+
+
 # ---- suffixes of a chunk of documents -------------------------------------------------------------
 
 
 class Chunk:
-    """Documents by id, their words' hashes, and for each suffix of ``window`` words or more its place and hashes."""
+    """Segments of some documents: windows of ``window`` words that share an anchor.
 
-    def __init__(self, docs: list[tuple[int, np.ndarray]], window: int, levels: tuple[int, ...]):
+    doc, key, start, count: of each segment, its document (id and key), place and number of windows.  text: its words.
+    prefix: for each prefix length the hash at the anchor.  Of equal segments only the first is kept, the others are in ``again``.
+    """
+
+    def __init__(self, docs: list[tuple[int, int, list[bytes]]], window: int):
         docs.sort(key=lambda d: d[0])
-        self.ids = np.array([d for d, _ in docs], dtype=np.int64)
-        sizes = np.array([len(w) for _, w in docs], dtype=np.int64)
-        self.base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-        words = np.concatenate([w for _, w in docs]) if docs else np.zeros(0, np.uint64)
+        size = min(ANCHOR, window)
+        sizes = np.array([len(w) for _, _, w in docs], dtype=np.int64)
+        base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        words = [x for _, _, w in docs for x in w]
         n = max(0, len(words) - window + 1)
         valid = np.zeros(n, dtype=bool)
-        for b, s in zip(self.base.tolist(), sizes.tolist(), strict=True):
+        for b, s in zip(base.tolist(), sizes.tolist(), strict=False):
             if s >= window:
                 valid[b : b + s - window + 1] = True
-        h, self.prefix = np.zeros(n, dtype=np.uint64), []
-        for k in range(window):
-            h = h * _B + words[k : k + n]
-            h ^= h >> np.uint64(29)
-            if k + 1 in levels:
-                self.prefix.append(mix(h[valid]))
-        self.at = np.flatnonzero(valid)
-        self.digest = mix(mix(h[valid]) + np.uint64(window))
-
-
-def chunks(batches: Iterator[pa.RecordBatch], window: int, levels: tuple[int, ...], chunk_words: int) -> Iterator[Chunk]:
-    held: list[tuple[int, np.ndarray]] = []
+        at = np.flatnonzero(valid)
+        if len(at):
+            values = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+            grams, prefix = np.zeros(len(words), dtype=np.uint64), []
+            for k in range(size):
+                m = len(words) - k
+                grams[:m] = grams[:m] * _B + values[k:]
+                grams ^= grams >> np.uint64(29)
+                prefix.append(mix(grams))
+            least = prefix[-1][:n].copy()
+            for k in range(1, window - size + 1):
+                np.minimum(least, prefix[-1][k : k + n], out=least)
+            anchor = np.zeros(n, dtype=np.int64)
+            for k in range(window - size, -1, -1):  # the first of equal ones
+                here = prefix[-1][k : k + n] == least
+                anchor[here] = np.flatnonzero(here) + k
+            new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]])])
+            first = at[new]
+            count = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
+        else:
+            first, count, anchor, prefix = at, at, at, [np.zeros(0, np.uint64)] * size
+        in_doc = np.searchsorted(base, first, side="right") - 1
+        ids = np.array([d for d, _, _ in docs], dtype=np.int64)[in_doc]
+        keys = np.array([k for _, k, _ in docs], dtype=np.int64)[in_doc]
+        start = first - base[in_doc]
+        seen: dict[bytes, int] = {}
+        text, sent, again = [], [], []
+        for i, (a, c) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+            segment = b" ".join(words[a : a + c + window - 1])
+            j = seen.setdefault(segment, i)
+            if i == j or (ids[i] == ids[j] and start[i] == start[j]):  # segments stand by document and start; none of two equal places is earlier
+                sent.append(i), text.append(segment)
+            else:
+                again.append(i)
+        self.text, s, f = text, np.array(sent, dtype=np.int64), np.array(again, dtype=np.int64)
+        self.doc, self.key, self.start, self.count = ids[s], keys[s], start[s], count[s]
+        self.again = ids[f], keys[f], start[f], count[f]
+        self.prefix = [p[anchor[first[s]]] if len(s) else p[:0] for p in prefix]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], window: int, chunk_words: int) -> Iterator[Chunk]:
+    held: list[tuple[int, int, list[bytes]]] = []
     size = 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            w = word_hashes((text or "").encode())
-            held.append((NO_ID if doc is None else doc, w))
+        for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            w = (text or "").encode().split()
+            held.append((NO_ID if doc is None else doc, key, w))
             size += len(w)
             if size >= chunk_words:
-                yield Chunk(held, window, levels)
+                yield Chunk(held, window)
                 held, size = [], 0
     if held:
-        yield Chunk(held, window, levels)
+        yield Chunk(held, window)
+
+
+def cells_of(prefix: np.ndarray, bits: int) -> np.ndarray:
+    return (prefix >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def cell_counter(window: int, levels: tuple[int, ...], bits: int, chunk_words: int):
+def cell_counter(window: int, bits: int, chunk_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(levels), 1 << bits), dtype=np.int64)
-        for c in chunks(batches, window, levels, chunk_words):
+        total = np.zeros((min(ANCHOR, window), 1 << bits), dtype=np.int64)
+        for c in chunks(batches, window, chunk_words):
             for k, h in enumerate(c.prefix):
-                total[k] += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                total[k] += np.bincount(cells_of(h, bits), weights=c.count, minlength=1 << bits).astype(np.int64)
         level, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[level, cell])], ["level", "cell", "n"])
 
     return run
 
 
-def prefix_groups(counts: np.ndarray, group_size: int) -> tuple[np.ndarray, int]:
-    """For each (level, cell): its group, or -1 where the prefix is to be lengthened; and the number of groups."""
+def prefix_groups(counts: np.ndarray, group_size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each (level, cell) its group, or -1 where the prefix is to be lengthened; for each cell of the last level into how many
+    groups its windows are dealt; and the number of groups."""
     levels, cells = counts.shape
-    group = np.full((levels, cells), -1, dtype=np.int32)
+    group, parts = np.full((levels, cells), -1, dtype=np.int32), np.ones(cells, dtype=np.int32)
     room, number = 0, 0
     for k in range(levels):
         for c in np.argsort(-counts[k], kind="stable"):
             n = int(counts[k, c])
             if n > group_size and k + 1 < levels:
                 continue
-            if room < n:
-                number, room = number + 1, max(group_size, n)
-            group[k, c] = number - 1 if number else 0
+            if n > group_size:
+                parts[c] = -(-n // group_size)
+                group[k, c] = number
+                number, room = number + int(parts[c]), 0
+                continue
+            if room < n or not number:
+                number, room = number + 1, group_size
+            group[k, c] = number - 1
             room -= n
-    return group, max(1, number)
-
-
-def sender(window: int, levels: tuple[int, ...], bits: int, group: np.ndarray, chunk_words: int):
-    """Packs each chunk's suffixes by group."""
-
-    def pack(c: Chunk, g: int, digest: np.ndarray, first: np.ndarray, again: np.ndarray) -> tuple:
-        used = np.unique(np.searchsorted(c.base, np.concatenate([first, again]), side="right") - 1)
-        width = 3 if c.at[-1] < 2**24 else 4
-        hashes = digest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
-        places = lambda x: x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
-        return g, width, hashes, places(first), places(again), c.ids[used].tobytes(), c.base[used].astype(np.int64).tobytes()
+    return group, parts, max(1, number)
+
+
+def pack(doc: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray, text: list[bytes], again: tuple, level: int = 1) -> bytes:
+    import zstandard
+
+    head = np.array([len(doc), len(again[0])], "<u4").tobytes()
+    columns = [x.astype(t).tobytes() for part in ((doc, key, start, count), again) for x, t in zip(part, ("<i8", "<i8", "<u4", "<u2"), strict=True)]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([head, *columns, b"\n".join(text)]))
+
+
+def unpack(data: bytes) -> tuple[tuple, list[bytes], tuple]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    parts, at = [], 8
+    for n in np.frombuffer(raw, "<u4", 2).tolist():
+        columns = []
+        for kind in ("<i8", "<i8", "<u4", "<u2"):
+            columns.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+            at += n * np.dtype(kind).itemsize
+        parts.append(tuple(columns))
+    return parts[0], raw[at:].split(b"\n") if len(parts[0][0]) else [], parts[1]
+
+
+def sender(window: int, bits: int, group: np.ndarray, parts: np.ndarray, chunk_words: int):
+    """Packs each chunk's segments by group."""
+
+    def dealt(c: Chunk) -> tuple:
+        """(group, doc, key, start, count, text) of each segment, or of each window where a cell is dealt by windows."""
+        g = np.full(len(c.doc), -1, dtype=np.int64)
+        for k, h in enumerate(c.prefix):
+            left = g < 0
+            g[left] = group[k][cells_of(h[left], bits)]
+        several = np.zeros(len(g), dtype=np.int64)
+        last = cells_of(c.prefix[-1], bits)
+        several = np.where(g == group[-1][last], parts[last], 1)
+        if not (several > 1).any():
+            return g, c.doc, c.key, c.start, c.count, c.text
+        rows = []
+        for i, (m, n) in enumerate(zip(several.tolist(), c.count.tolist(), strict=True)):
+            if m == 1:
+                rows.append((g[i], c.doc[i], c.key[i], c.start[i], n, c.text[i]))
+                continue
+            w = c.text[i].split(b" ")
+            for k in range(n):
+                t = b" ".join(w[k : k + window])
+                rows.append((g[i] + hash_of(t) % m, c.doc[i], c.key[i], c.start[i] + k, 1, t))
+        *columns, text = zip(*rows, strict=True)
+        return *(np.array(x, dtype=np.int64) for x in columns), list(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches, window, levels, chunk_words):
-            if not len(c.at):
+        for c in chunks(batches, window, chunk_words):
+            if not len(c.doc):
                 continue
-            order = np.argsort(c.digest, kind="stable")  # suffixes stand by document and start, so the first is the earliest
-            d = c.digest[order]
-            new = np.concatenate([[True], d[1:] != d[:-1]])
-            leader = order[new][np.cumsum(new) - 1]
-            doc = np.searchsorted(c.base, c.at, side="right") - 1
-            ids, start = c.ids[doc], c.at - c.base[doc]
-            tie = (ids[leader] == ids[order]) & (start[leader] == start[order])
-            sent, again = np.sort(order[new | tie]), np.sort(order[~(new | tie)])
-            g = np.full(len(c.at), -1, dtype=np.int32)
-            for k, h in enumerate(c.prefix):
-                left = g < 0
-                g[left] = group[k][(h[left] >> np.uint64(64 - bits)).astype(np.int64)]
-            gs = g[sent]
-            by_group = np.argsort(gs, kind="stable")
-            edges = np.flatnonzero(np.diff(gs[by_group], prepend=-1))
+            g, doc, key, start, count, text = dealt(c)
+            order = np.argsort(g, kind="stable")
+            edges = np.flatnonzero(np.diff(g[order], prepend=-1))
+            spare, none = hash_of(text[0]) % len(edges), tuple(x[:0] for x in c.again)  # one group passes on what was folded here
             rows = []
-            spare = int(c.digest[0] % np.uint64(len(edges)))  # one group passes on what was folded here
-            for j, (a, b) in enumerate(zip(edges, [*edges[1:], len(by_group)], strict=True)):
-                part = sent[by_group[a:b]]
-                rows.append(pack(c, int(gs[by_group[a]]), c.digest[part], c.at[part], c.at[again] if j == spare else again[:0]))
+            for j, (a, b) in enumerate(zip(edges, [*edges[1:], len(order)], strict=True)):
+                i = order[a:b]
+                rows.append((int(g[i[0]]), pack(doc[i], key[i], start[i], count[i], [text[x] for x in i], c.again if j == spare else none)))
             for k in range(0, len(rows), 64):
-                cols = list(zip(*rows[k : k + 64], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *[pa.array(x, pa.binary()) for x in cols[2:]]], ["grp", "width", "hash", "first", "again", "ids", "base"])
+                grp, data = zip(*rows[k : k + 64], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(data, pa.binary())], ["grp", "data"])
 
     return run
 
 
-# ---- subtrees -------------------------------------------------------------------------------------
+def hash_of(data: bytes) -> int:
+    import xxhash
 
+    return xxhash.xxh3_64_intdigest(data)
 
-def _unpack(data: bytes, width: int, kind: str) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), np.dtype(kind).itemsize), np.uint8)
-    out[:, :width] = raw
-    return out.view(kind).ravel()
 
+# ---- subtrees -------------------------------------------------------------------------------------
 
-def runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring starts of a document as (doc, start, number)."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+
+def runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of documents, given as (start, number), as maximal runs."""
+    order = np.lexsort((start, key, doc))
+    doc, key, start, end = doc[order], key[order], start[order], (start + count)[order]
     if not len(doc):
-        return doc, start, start
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
+        return doc, key, start, start
+    apart = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
+    part = np.cumsum(apart)
+    reach = np.maximum.accumulate(end + part * 2**33) - part * 2**33  # the furthest end so far in the same document
+    new = apart | np.concatenate([[True], start[1:] > reach[:-1]])
     at = np.flatnonzero(new)
     last = np.concatenate([at[1:], [len(doc)]]) - 1
-    return doc[at], start[at], start[last] - start[at] + 1
-
-
-def subtree(t: pa.Table) -> pa.Table:
-    """Repeats among a group's suffixes, and those that chunks have folded, as (doc_id, start, n)."""
-    digest, doc, start, out = [], [], [], []
-    for r in t.to_pylist():
-        ids, base = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["base"], np.int64)
-        for places, sent in ((_unpack(r["first"], r["width"], "<u4"), True), (_unpack(r["again"], r["width"], "<u4"), False)):
-            at = places.astype(np.int64)
-            i = np.searchsorted(base, at, side="right") - 1
-            if sent:
-                doc.append(ids[i]), start.append(at - base[i]), digest.append(_unpack(r["hash"], 7, "<u8"))
-            else:
-                out.append((ids[i], at - base[i]))
-    doc, start, digest = np.concatenate(doc), np.concatenate(start), np.concatenate(digest)
-    order = np.lexsort((start, doc, digest))
-    doc, start, digest = doc[order], start[order], digest[order]
-    new = np.concatenate([[True], digest[1:] != digest[:-1]])
-    node = np.flatnonzero(new)[np.cumsum(new) - 1]  # the first suffix below the same node
-    later = (doc != doc[node]) | (start != start[node])
-    out.append((doc[later], start[later]))
-    d, s, n = runs(np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
-    return pa.table({"doc_id": pa.array(d, pa.int64()), "start": pa.array(s, pa.int32()), "n": pa.array(n, pa.int32())})
-
-
-def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_size: int = GROUP, levels: tuple[int, ...] = LEVELS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """(doc_id, start, n): ``n`` neighbouring windows from ``start`` whose words also stand earlier; a null id is ``NO_ID``."""
+    return doc[at], key[at], start[at], reach[last] - start[at]
+
+
+def later_ones(words: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int, bits: int = 64) -> np.ndarray:
+    """Of the suffixes that begin at ``at`` in ``words``, those whose first ``window`` words also start earlier.
+
+    bits: length of the digests that bring equal suffixes together; what counts is the comparison of the words.
+    """
+    values, n = mix(words.astype(np.uint64) + np.uint64(1)), max(0, len(words) - window + 1)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(window):
+        h = h * _B + values[k : k + n]
+        h ^= h >> np.uint64(29)
+    digest = mix(h)[at] >> np.uint64(64 - bits)
+    order = np.argsort(digest, kind="stable")
+    same = digest[order[1:]] == digest[order[:-1]]
+    shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
+    shared = shared[np.lexsort((start[shared], doc[shared], digest[shared]))]
+    new = np.concatenate([[True], digest[shared[1:]] != digest[shared[:-1]]]) if len(shared) else np.zeros(0, bool)
+    first = shared[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first suffix of the same node
+    equal = np.ones(len(shared), dtype=bool)
+    for k in range(window):
+        equal &= words[at[shared] + k] == words[at[first] + k]
+    later = equal & ((doc[shared] != doc[first]) | (start[shared] != start[first]))
+    # Suffixes that only share the digest of the first one: among these the words themselves are the key.
+    earliest: dict[bytes, tuple] = {}
+    for i in np.flatnonzero(~equal).tolist():  # by document and start within a digest, so the first is the earliest
+        place = (doc[shared[i]], start[shared[i]])
+        later[i] = earliest.setdefault(words[at[shared[i]] : at[shared[i]] + window].tobytes(), place) != place
+    return shared[later]
+
+
+def subtree(window: int, bits: int = 64):
+    """Repeats among a group's suffixes, and those that chunks have folded, as (doc_id, key, start, n)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        numbers = Numbers()
+        held, at, segments, folded, size = [], [], [], [], 0
+        for data in t.column("data").to_pylist():
+            columns, texts, again = unpack(data)
+            lists = [x.split() for x in texts]
+            flat = [w for x in lists for w in x]
+            held.append(np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat)))
+            at.append(size + np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]]).astype(np.int64) if lists else np.zeros(0, np.int64))
+            size += len(flat)
+            segments.append(columns), folded.append(again)
+        words, begin = np.concatenate(held), np.concatenate(at)
+        doc, key, start, count = (np.concatenate(x) for x in zip(*segments, strict=True))
+        segment = np.repeat(np.arange(len(doc)), count)
+        within = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
+        later = later_ones(words, begin[segment] + within, doc[segment], start[segment] + within, window, bits)
+        s = segment[later]
+        one = doc[s], key[s], start[s] + within[later], np.ones(len(s), dtype=np.int64)
+        d, k, a, n = runs(*(np.concatenate([x, *y]) for x, y in zip(one, zip(*folded, strict=True), strict=True)))
+        return pa.table({"doc_id": pa.array(d, pa.int64()), "key": pa.array(k, pa.int64()), "start": pa.array(a, pa.int32()), "n": pa.array(n, pa.int32())})
+
+    return run
+
+
+def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_size: int = GROUP, chunk_words: int = CHUNK_WORDS, digest_bits: int = 64) -> DataFrame:
+    """(doc_id, key, start, n): ``n`` neighbouring windows from ``start`` whose words also stand earlier.
+
+    A null id is ``NO_ID``; ``key`` is the hash of the row's text, which tells rows with equal ids apart.
+    """
     spark = df.sparkSession
     small_batches(spark, 256)
-    levels = tuple(sorted({x for x in levels if x < window} | {window}))
-    slim = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     words = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5
-    bits = min(20, max(12, int(words // group_size * 8).bit_length()))
-    counts = np.zeros((len(levels), 1 << bits), dtype=np.int64)
-    cells = slim.mapInArrow(cell_counter(window, levels, bits, chunk_words), "level int, cell int, n long").groupBy("level", "cell").agg(F.sum("n").alias("n"))
-    for r in cells.toLocalIterator():  # at most levels x 2^bits rows
+    bits = min(20, max(12, int(words // group_size * 8).bit_length()))  # at most 4 x 2^20 counts on the driver
+    counts = np.zeros((min(ANCHOR, window), 1 << bits), dtype=np.int64)
+    cells = slim.mapInArrow(cell_counter(window, bits, chunk_words), "level int, cell int, n long").groupBy("level", "cell").agg(F.sum("n").alias("n"))
+    for r in cells.toLocalIterator():
         counts[r["level"], r["cell"]] = r["n"]
-    group, number = prefix_groups(counts, group_size)
-    sent = slim.mapInArrow(sender(window, levels, bits, group, chunk_words), "grp int, width int, hash binary, first binary, again binary, ids binary, base binary")
-    parts = max(number, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return sent.repartition(parts, "grp").groupBy("grp").applyInArrow(subtree, "doc_id long, start int, n int")
+    group, parts, number = prefix_groups(counts, group_size)
+    sent = slim.mapInArrow(sender(window, bits, group, parts, chunk_words), "grp int, data binary")
+    tasks = min(MOST_PARTITIONS, max(number, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a task takes its groups one after the other
+    return sent.repartition(tasks, "grp").groupBy("grp").applyInArrow(subtree(window, digest_bits), "doc_id long, key long, start int, n int")
 
 
 # ---- removal --------------------------------------------------------------------------------------
@@ -223,7 +359,7 @@ def remover(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             many, gone, sha, text_out = [], [], [], []
-            for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 w = (text or "").encode().split()
                 out = np.zeros(len(w) + 1, dtype=np.int64)
                 for x in spans or ():
@@ -232,24 +368,24 @@ def remover(window: int, with_text: bool):
                 keep = np.cumsum(out)[:-1] == 0
                 rest = b" ".join([w[i] for i in np.flatnonzero(keep)]) if spans else b" ".join(w)
                 many.append(len(w)), gone.append(len(w) - int(keep.sum())), sha.append(hashlib.sha256(rest).hexdigest()), text_out.append(rest.decode() if with_text else None)
-            kept = [n for n in batch.schema.names if n not in ("_text", "_spans")]
-            made = {"n_words": pa.array(many, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha)}
+            made = [batch.column("id"), pa.array(many, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+            names = ["id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
-                made["kept_text"] = pa.array(text_out, pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *made.values()], [*kept, *made])
+                made.append(pa.array(text_out, pa.string())), names.append("kept_text")
+            yield pa.RecordBatch.from_arrays(made, names)
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_size: int = GROUP, with_text: bool = True, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_size: int = GROUP, with_text: bool = True, chunk_words: int = CHUNK_WORDS, digest_bits: int = 64) -> DataFrame:
     """One row for each row: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text."""
-    flags = cut(repeated_windows(df, id_col, text_col, window, group_size, chunk_words=chunk_words), "repeats")
-    spans = flags.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))  # at most the words of a document
-    slim = df.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    key = F.coalesce(F.col(f"`{id_col}`"), F.lit(NO_ID))
-    joined = slim.withColumn("_id", key).join(spans.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
-    schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(remover(window, with_text), schema)
+    flags = cut(repeated_windows(df, id_col, text_col, window, group_size, chunk_words, digest_bits), "repeats")
+    spans = flags.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # at most the words of a document
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("key"))
+    joined = slim.join(spans, ["doc_id", "key"], "left").select("id", "text", "spans")
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return joined.mapInArrow(remover(window, with_text), schema).withColumnRenamed("id", id_col)
 
 
 def op10_substring_dedup(spark, sf_dir):

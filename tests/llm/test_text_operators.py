@@ -259,9 +259,10 @@ def test_components_of_a_long_path(spark):
 # ---- repeats ----
 
 
-@pytest.mark.parametrize("group_size, chunk_words", [(1_000_000, 1_200_000), (300, 700)])
-def test_repeats_match_brute_force(spark, docs, table, group_size, chunk_words):
-    got = substrings.remove_repeats(table, group_size=group_size, chunk_words=chunk_words).collect()
+@pytest.mark.parametrize("group_size, chunk_words, bits", [(1_000_000, 1_200_000, 64), (300, 700, 64), (20, 5000, 64), (2_000, 900, 3)])
+def test_repeats_match_brute_force(spark, docs, table, group_size, chunk_words, bits):
+    """Also where cells are dealt by windows (20 to a group), and where digests of three bits collide all the time."""
+    got = substrings.remove_repeats(table, group_size=group_size, chunk_words=chunk_words, digest_bits=bits).collect()
     want = brute.without_repeats(docs)
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
     assert all(brute.sha(r["kept_text"]) == r["kept_sha256"] for r in got)
@@ -273,15 +274,45 @@ def test_repeats_of_equal_and_null_ids(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 25), (3, 0)]
     got = substrings.remove_repeats(spark.createDataFrame([(None, t), (1, t)], SCHEMA)).collect()
     assert {r["doc_id"]: r["n_removed"] for r in got} == {None: 0, 1: 25}
+    other = " ".join(f"x{i}" for i in range(40))
+    got = substrings.remove_repeats(spark.createDataFrame([(1, other), (2, f"y {t}"), (2, other)], SCHEMA)).collect()  # one id, two texts
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 40, 0), (2, 26, 0), (2, 40, 40)]
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+def test_windows_shorter_than_the_longest_prefix(spark):
+    docs = [(1, "a b c d e"), (2, "x b c y"), (3, "c d"), (4, "")]
+    for window in (1, 2, 3):
+        got = substrings.remove_repeats(spark.createDataFrame(docs, SCHEMA), window=window).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute.without_repeats(docs, window)
+
+
+def test_equal_suffixes_are_told_by_their_words():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 3, 400)
+    at, doc = np.arange(0, 396), np.repeat(np.arange(99), 4)[::-1].copy()
+    start = np.tile(np.arange(4), 99)
+    first: dict = {}
+    for i in np.lexsort((start, doc)):
+        first.setdefault(tuple(words[at[i] : at[i] + 4]), (doc[i], start[i]))
+    want = {i for i in range(396) if first[tuple(words[at[i] : at[i] + 4])] != (doc[i], start[i])}
+    for bits in (1, 4, 64):
+        assert set(substrings.later_ones(words, at, doc, start, 4, bits).tolist()) == want
+
+
 def test_prefixes_are_lengthened_until_they_fit():
     import numpy as np
 
-    counts = np.array([[90, 5, 0, 3], [50, 40, 2, 1], [30, 20, 25, 8]])
-    group, number = substrings.prefix_groups(counts, 45)
-    assert group[0, 0] == -1 and group[1, 0] == -1 and group[1, 1] >= 0 and (group[2] >= 0).all() and number >= 2
+    counts = np.array([[90, 5, 0, 3], [50, 40, 2, 1], [130, 20, 25, 8]])
+    group, parts, number = substrings.prefix_groups(counts, 45)
+    assert group[0, 0] == -1 and group[1, 0] == -1 and group[1, 1] >= 0 and (group[2] >= 0).all() and parts.tolist() == [3, 1, 1, 1]
+    held = np.zeros(number)
+    for k, c in zip(*np.nonzero(group >= 0), strict=True):
+        if k < 2 or parts[c] == 1:
+            held[group[k, c]] += counts[k, c]
+    assert held.max() <= 45
 
 
 # ---- tokens ----
