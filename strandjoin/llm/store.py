@@ -81,6 +81,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df if len(keep) == len(df.columns) else df.select(*[df[f"`{c}`"] for c in keep])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Internal column names that no column of ``df`` has."""
+    low = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,8 +1,10 @@
 """Brute-force versions of the operators' contracts, on plain Python values."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 from itertools import pairwise
 
 
@@ -23,6 +25,51 @@ def secrets(text):
     return [(("assign", "access", "hex")[k], a, b) for a, k, b in sorted(spans)]
 
 
+CANDIDATE, ALLOWED = re.compile("[A-Za-z0-9+/=_-]{20,}"), re.compile(r"(/|\./|\.\./)|([A-Za-z]+[-_/=])+[A-Za-z]*$|[-_=+/]+$|[0-9-]+$")
+
+
+def entropies(s, window=16):
+    """Best over the windows: of capitals, small letters, digits, and all of them; each window is counted anew."""
+    best = [0.0] * 4
+    for i in range(len(s) - window + 1):
+        for k, chars in enumerate(("[A-Z]", "[a-z]", "[0-9]", "[A-Za-z0-9]")):
+            c = Counter(re.findall(chars, s[i : i + window]))
+            n = sum(c.values())
+            if 4 * n >= window:
+                best[k] = max(best[k], round(-sum(v / n * math.log2(v / n) for v in c.values()), 6))
+    return best
+
+
+def odd_looking(s):
+    """The entropy rule on one candidate."""
+    three = lambda x: all(re.search(c, x) for c in ("[A-Z]", "[a-z]", "[0-9]"))
+    if three(s) and not ALLOWED.match(s) and sum(e > 1.9 for e in entropies(s)[:3]) >= 2:
+        return True
+    rest = "/".join(p for p in re.split("[-_/=+]", s) if not re.fullmatch("[A-Za-z]{0,19}[0-9]{0,4}", p))
+    if len(rest) < 16:
+        return False
+    if re.fullmatch("[A-Za-z/]+[0-9]{0,4}", rest):
+        humps = re.search("[A-Z]", rest) and re.fullmatch("[a-z]*[0-9]{0,4}", re.sub("[A-Z]{1,3}[a-z]{2,}", "", rest))
+        return not humps and entropies(rest)[3] > 3.6
+    return sum(e > 1.9 for e in entropies(rest)[:3]) >= 2 if three(rest) else entropies(rest)[3] > 3.4
+
+
+def all_secrets(text):
+    """Base and entropy spans, by start, then kind as listed."""
+    t, base = text or "", secrets(text)
+    more = [("entropy", m.start(), m.end()) for m in CANDIDATE.finditer(t) if all(m.end() <= a or b <= m.start() for _, a, b in base) and odd_looking(m[0])]
+    return sorted(base + more, key=lambda x: (x[1], ("assign", "access", "hex", "entropy").index(x[0])))
+
+
+def redacted(text, mark="[SECRET]"):
+    out, end = "", 0
+    for _, a, b in all_secrets(text):
+        if a >= end:
+            out += text[end:a] + mark
+        end = max(end, b)
+    return out + text[end:]
+
+
 # ---- near duplicates ----
 def shingles(text, n=4):
     w = (text or "").encode().lower().split()

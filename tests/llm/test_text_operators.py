@@ -87,23 +87,60 @@ def test_entropy_of_few_classes_and_of_paths(spark):
     assert all("[SECRET]" in r["text"] for r in secrets.redact_secrets(df.where(F.col("doc_id") < len(secret))).collect())
 
 
-def test_window_entropy_is_that_of_each_window(spark):
-    import math
-    from collections import Counter
-
-    strings = ["aB3dE5gH7jK9mN1pQ4sT6vX8zC2", "aaaaaaaaaaaaaaaaaaaaaaaa", "abababababcdcdcdcdefefef", "A1" * 20, "short"]
+def test_window_entropies_are_those_of_each_window(spark):
+    strings = ["aB3dE5gH7jK9mN1pQ4sT6vX8zC2", "aaaaaaaaaaaaaaaaaaaaaaaa", "abababababcdcdcdcdefefef", "A1" * 20, "short", "/a_B-9=+" * 6, ""]
     df = spark.createDataFrame([(s,) for s in strings], "s string")
-    for chars, _ in secrets.CLASSES:
-        for r in df.select("s", secrets.window_entropy(F.col("s"), chars).alias("h")).collect():
-            import re
+    for r in df.select("s", secrets.window_entropies(F.col("s")).alias("h")).collect():
+        assert list(r["h"]) == pytest.approx(brute.entropies(r["s"]), abs=1e-6)
+
+
+def secret_texts():
+    """Random mixtures of keys, values, candidates of every class, words, paths and identifiers, so that spans touch and overlap."""
+    import base64
+    import string
+
+    rng = random.Random(12)
+    some = lambda letters, low, high: "".join(rng.choices(letters, k=rng.randint(low, high)))
+    makers = [
+        lambda: some(string.ascii_letters + string.digits, 15, 40), lambda: some(string.ascii_lowercase + string.digits, 18, 40), lambda: some(string.ascii_uppercase + "234567", 18, 40),
+        lambda: some(string.ascii_lowercase, 16, 40), lambda: base64.b64encode(rng.randbytes(rng.randint(10, 40))).decode(), lambda: some("0123456789abcdef", 20, 40), lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 12, 24),
+        lambda: "/".join(rng.choices(["usr", "local", "lib", "Python3", "site", "packages", "x9y8z7w6"], k=6)), lambda: "-".join(rng.choices(["some", "Dashed", "name2", "and"], k=6)), lambda: "".join(rng.choices(["get", "Element", "By", "Class", "Name"], k=8)),
+        lambda: rng.choice(["password", "TOKEN", "api_key", "Secret"]) + rng.choice([":", "=", " = ", '": "']), lambda: rng.choice([" ", "\n", "é", ".", ", 字 ", "", "/", "-", "="]), lambda: "abstractions " * 2,
+    ]
+    return ["".join(rng.choice(makers)() for _ in range(rng.randint(1, 14))) for _ in range(250)]
 
-            best = 0.0
-            for i in range(len(r["s"]) - secrets.WINDOW + 1):
-                c = Counter(x for x in r["s"][i : i + secrets.WINDOW] if re.match(f"[{chars}]", x))
-                n = sum(c.values())
-                if 4 * n >= secrets.WINDOW:
-                    best = max(best, -sum(v / n * math.log2(v / n) for v in c.values()))
-            assert r["h"] == pytest.approx(best, abs=1e-6)
+
+def test_all_spans_and_redactions_match_brute_force(spark):
+    texts = secret_texts() + [t for t in SECRET_TEXTS if t is not None]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    kinds = set()
+    for r in secrets.scan_secrets(df).collect():
+        want = brute.all_secrets(texts[r["doc_id"]])
+        kinds |= {k for k, _, _ in want}
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in want), texts[r["doc_id"]]
+    assert kinds == {"assign", "access", "hex", "entropy"}
+    names = ("_base", "_spans", "_text", "spans", "items", "secrets", "score")
+    named = df.select("doc_id", *[F.lit(f"own {n}").alias(n) for n in names], "text")  # columns of any name come out as they were
+    clean = secrets.redact_secrets(named)
+    assert clean.columns == named.columns
+    for r in clean.collect():
+        assert r["text"] == brute.redacted(texts[r["doc_id"]]) and [r[n] for n in names] == [f"own {n}" for n in names]
+
+
+def test_long_texts_of_many_matches_are_scanned_and_redacted_in_seconds(spark):
+    import time
+
+    rng = random.Random(6)
+    many = " ".join("".join(rng.choices("0123456789abcdef", k=24)) + " é" for _ in range(35_000))  # about 1 MB
+    blob = "x " + "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=300_000)) + " y"
+    both = " ".join(f"password=abcdef{i} aB3dE5gH7jK9mN1pQ4sT6vX8zC{i}" for i in range(4_000))
+    df = spark.createDataFrame(list(enumerate([many, blob, both])), SCHEMA).repartition(3).cache()
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(df).select("doc_id", "n_hex", "n_assign", "n_entropy").collect()}
+    assert (got[0]["n_hex"], got[1]["n_entropy"], got[2]["n_assign"], got[2]["n_entropy"]) == (35_000, 1, 4_000, 4_000)
+    text = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
+    assert text[0] == " ".join(["[SECRET] é"] * 35_000) and text[1] == "x [SECRET] y" and text[2] == " ".join(["[SECRET] [SECRET]"] * 4_000)
+    assert time.time() - began < 90
 
 
 def test_redaction(spark):
@@ -291,7 +328,8 @@ def test_equal_suffixes_are_told_by_their_words():
     import numpy as np
 
     rng = np.random.default_rng(4)
-    words = rng.integers(0, 3, 400)
+    words = [("a", "bb", "a\x1c")[k] for k in rng.integers(0, 3, 400)]
+    data = " ".join(words).encode()
     at, doc = np.arange(0, 396), np.repeat(np.arange(99), 4)[::-1].copy()
     start = np.tile(np.arange(4), 99)
     first: dict = {}
@@ -299,7 +337,12 @@ def test_equal_suffixes_are_told_by_their_words():
         first.setdefault(tuple(words[at[i] : at[i] + 4]), (doc[i], start[i]))
     want = {i for i in range(396) if first[tuple(words[at[i] : at[i] + 4])] != (doc[i], start[i])}
     for bits in (1, 4, 64):
-        assert set(substrings.later_ones(words, at, doc, start, 4, bits).tolist()) == want
+        assert set(substrings.later_ones(data, substrings.word_places(data), at, doc, start, 4, bits).tolist()) == want
+
+
+def test_words_are_cut_at_the_six_blanks_only():
+    for t in ["", None, " ", "a", " a\tb\x0b\x0cc\r\n d  ", "a\x1cb\x85\u3000c  d", "é 字\x00 x"]:
+        assert substrings.plain(t) == b" ".join((t or "").encode().split())
 
 
 def test_prefixes_are_lengthened_until_they_fit():
