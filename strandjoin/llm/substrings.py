@@ -46,27 +46,53 @@ NO_ID = -(2**63)
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash; forgets when it grows large."""
+_BLANKS = bytes(32 if c in b"\x09\x0a\x0b\x0c\x0d" else c for c in range(256))
+_PLACE = mix(np.arange(1, 4097, dtype=np.uint64))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def plain(text: str | None) -> bytes:
+    """The words of a text with one blank between them."""
+    data = (text or "").encode().translate(_BLANKS).strip(b" ")
+    return b" ".join(data.split(b" ")) if b"  " not in data else b" ".join(x for x in data.split(b" ") if x)
 
 
-class Numbers(dict):
-    """Word -> its number, in the order of first sight."""
+def word_places(data: bytes) -> np.ndarray:
+    """Where the words begin in texts of ``plain`` words that are joined by line feeds; the last entry is one beyond the end."""
+    a = np.frombuffer(data, np.uint8)
+    return np.concatenate([[0], np.flatnonzero((a == 32) | (a == 10)) + 1, [len(a) + 1]])
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
 
+def word_values(data: bytes, places: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: a sum over its bytes, weighted by their places in the word."""
+    sizes = np.diff(places)
+    a = np.frombuffer(data + b"\n", np.uint8)
+    within = np.arange(len(a)) - np.repeat(places[:-1], sizes)
+    weighted = _PLACE[within & 4095] * a
+    weighted[places[1:] - 1] = 0  # what stands between words
+    return mix(np.add.reduceat(weighted, places[:-1]) + sizes.astype(np.uint64))
 
-_hashes = Hashes()
+
+def follow(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Hashes of texts that follow one another."""
+    out = h * _B + g
+    return out ^ (out >> np.uint64(29))
+
+
+def spelled(values: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of ``n`` words from each place on, by doubling; places with fewer words left out."""
+    out, done, power, size = None, 0, values, 1
+    while True:
+        if n & size:
+            m = len(values) - done - size + 1
+            if m <= 0:
+                return np.zeros(0, np.uint64)
+            out = power if out is None else follow(out[:m], power[done : done + m])
+            done += size
+        size *= 2
+        if size > n:
+            return out
+        half = len(power) - size // 2
+        power = follow(power[:half], power[size // 2 :]) if half > 0 else power[:0]
 
 
 # ---- suffixes of a chunk of documents -------------------------------------------------------------
@@ -79,49 +105,54 @@ class Chunk:
     prefix: for each prefix length the hash at the anchor.  Of equal segments only the first is kept, the others are in ``again``.
     """
 
-    def __init__(self, docs: list[tuple[int, int, list[bytes]]], window: int):
-        docs.sort(key=lambda d: d[0])
+    def __init__(self, docs: list[tuple[int, int, bytes]], window: int, whole: bool = True):
+        """whole: with texts, and folded by them; else folded by digests, which is enough for counts."""
+        docs = sorted((d for d in docs if d[2]), key=lambda d: d[0])
         size = min(ANCHOR, window)
-        sizes = np.array([len(w) for _, _, w in docs], dtype=np.int64)
+        data = b"\n".join(t for _, _, t in docs)
+        places = word_places(data)
+        sizes = np.array([t.count(b" ") + 1 for _, _, t in docs], dtype=np.int64)
         base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        words = [x for _, _, w in docs for x in w]
-        n = max(0, len(words) - window + 1)
-        valid = np.zeros(n, dtype=bool)
-        for b, s in zip(base.tolist(), sizes.tolist(), strict=False):
-            if s >= window:
-                valid[b : b + s - window + 1] = True
-        at = np.flatnonzero(valid)
+        n = max(0, int(base[-1]) - window + 1)
+        edges = np.zeros(n + 1, dtype=np.int64)
+        has = sizes >= window
+        np.add.at(edges, base[:-1][has], 1)
+        np.add.at(edges, base[1:][has] - window + 1, -1)
+        at = np.flatnonzero(np.cumsum(edges[:n]) > 0)
+        prefix = [np.zeros(0, np.uint64)] * size
+        anchor = count = first = at
         if len(at):
-            values = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-            grams, prefix = np.zeros(len(words), dtype=np.uint64), []
-            for k in range(size):
-                m = len(words) - k
-                grams[:m] = grams[:m] * _B + values[k:]
-                grams ^= grams >> np.uint64(29)
-                prefix.append(mix(grams))
+            values = word_values(data, places)
+            prefix = [mix(spelled(values, k + 1)) for k in range(size)]
             least = prefix[-1][:n].copy()
             for k in range(1, window - size + 1):
                 np.minimum(least, prefix[-1][k : k + n], out=least)
             anchor = np.zeros(n, dtype=np.int64)
             for k in range(window - size, -1, -1):  # the first of equal ones
-                here = prefix[-1][k : k + n] == least
-                anchor[here] = np.flatnonzero(here) + k
+                here = np.flatnonzero(prefix[-1][k : k + n] == least)
+                anchor[here] = here + k
             new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]])])
             first = at[new]
             count = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
-        else:
-            first, count, anchor, prefix = at, at, at, [np.zeros(0, np.uint64)] * size
+        if not whole:
+            if len(at):
+                ends = spelled(values, window)
+                s = np.unique(follow(follow(ends[first], ends[first + count - 1]), count.astype(np.uint64)), return_index=True)[1]
+                first, count = first[s], count[s]
+            self.count, self.prefix = count, [p[anchor[first]] if len(first) else p[:0] for p in prefix]
+            return
         in_doc = np.searchsorted(base, first, side="right") - 1
         ids = np.array([d for d, _, _ in docs], dtype=np.int64)[in_doc]
         keys = np.array([k for _, k, _ in docs], dtype=np.int64)[in_doc]
         start = first - base[in_doc]
         seen: dict[bytes, int] = {}
         text, sent, again = [], [], []
-        for i, (a, c) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
-            segment = b" ".join(words[a : a + c + window - 1])
+        for i, (a, b) in enumerate(zip(places[first].tolist(), (places[first + count + window - 1] - 1).tolist(), strict=True)):
+            segment = data[a:b]
             j = seen.setdefault(segment, i)
             if i == j or (ids[i] == ids[j] and start[i] == start[j]):  # segments stand by document and start; none of two equal places is earlier
-                sent.append(i), text.append(segment)
+                sent.append(i)
+                text.append(segment)
             else:
                 again.append(i)
         self.text, s, f = text, np.array(sent, dtype=np.int64), np.array(again, dtype=np.int64)
@@ -130,19 +161,19 @@ class Chunk:
         self.prefix = [p[anchor[first[s]]] if len(s) else p[:0] for p in prefix]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], window: int, chunk_words: int) -> Iterator[Chunk]:
-    held: list[tuple[int, int, list[bytes]]] = []
+def chunks(batches: Iterator[pa.RecordBatch], window: int, chunk_words: int, whole: bool = True) -> Iterator[Chunk]:
+    held: list[tuple[int, int, bytes]] = []
     size = 0
     for batch in batches:
         for doc, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            w = (text or "").encode().split()
-            held.append((NO_ID if doc is None else doc, key, w))
-            size += len(w)
+            t = plain(text)
+            held.append((NO_ID if doc is None else doc, key, t))
+            size += t.count(b" ") + 1
             if size >= chunk_words:
-                yield Chunk(held, window)
+                yield Chunk(held, window, whole)
                 held, size = [], 0
     if held:
-        yield Chunk(held, window)
+        yield Chunk(held, window, whole)
 
 
 def cells_of(prefix: np.ndarray, bits: int) -> np.ndarray:
@@ -152,7 +183,7 @@ def cells_of(prefix: np.ndarray, bits: int) -> np.ndarray:
 def cell_counter(window: int, bits: int, chunk_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((min(ANCHOR, window), 1 << bits), dtype=np.int64)
-        for c in chunks(batches, window, chunk_words):
+        for c in chunks(batches, window, chunk_words, whole=False):
             for k, h in enumerate(c.prefix):
                 total[k] += np.bincount(cells_of(h, bits), weights=c.count, minlength=1 << bits).astype(np.int64)
         level, cell = np.nonzero(total)
@@ -192,7 +223,7 @@ def pack(doc: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray,
     return zstandard.ZstdCompressor(level=level).compress(b"".join([head, *columns, b"\n".join(text)]))
 
 
-def unpack(data: bytes) -> tuple[tuple, list[bytes], tuple]:
+def unpack(data: bytes) -> tuple[tuple, bytes, tuple]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
@@ -203,7 +234,7 @@ def unpack(data: bytes) -> tuple[tuple, list[bytes], tuple]:
             columns.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
             at += n * np.dtype(kind).itemsize
         parts.append(tuple(columns))
-    return parts[0], raw[at:].split(b"\n") if len(parts[0][0]) else [], parts[1]
+    return parts[0], raw[at:], parts[1]
 
 
 def sender(window: int, bits: int, group: np.ndarray, parts: np.ndarray, chunk_words: int):
@@ -275,32 +306,29 @@ def runs(doc: np.ndarray, key: np.ndarray, start: np.ndarray, count: np.ndarray)
     return doc[at], key[at], start[at], reach[last] - start[at]
 
 
-def later_ones(words: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int, bits: int = 64) -> np.ndarray:
-    """Of the suffixes that begin at ``at`` in ``words``, those whose first ``window`` words also start earlier.
+def later_ones(data: bytes, places: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int, bits: int = 64) -> np.ndarray:
+    """Of the suffixes that begin at the words ``at`` of ``data``, those whose first ``window`` words also start earlier.
 
     bits: length of the digests that bring equal suffixes together; what counts is the comparison of the words.
     """
-    values, n = mix(words.astype(np.uint64) + np.uint64(1)), max(0, len(words) - window + 1)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(window):
-        h = h * _B + values[k : k + n]
-        h ^= h >> np.uint64(29)
-    digest = mix(h)[at] >> np.uint64(64 - bits)
+    digest = mix(spelled(word_values(data, places), window))[at] >> np.uint64(64 - bits)
     order = np.argsort(digest, kind="stable")
     same = digest[order[1:]] == digest[order[:-1]]
     shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
     shared = shared[np.lexsort((start[shared], doc[shared], digest[shared]))]
     new = np.concatenate([[True], digest[shared[1:]] != digest[shared[:-1]]]) if len(shared) else np.zeros(0, bool)
-    first = shared[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the first suffix of the same node
-    equal = np.ones(len(shared), dtype=bool)
-    for k in range(window):
-        equal &= words[at[shared] + k] == words[at[first] + k]
-    later = equal & ((doc[shared] != doc[first]) | (start[shared] != start[first]))
-    # Suffixes that only share the digest of the first one: among these the words themselves are the key.
-    earliest: dict[bytes, tuple] = {}
-    for i in np.flatnonzero(~equal).tolist():  # by document and start within a digest, so the first is the earliest
-        place = (doc[shared[i]], start[shared[i]])
-        later[i] = earliest.setdefault(words[at[shared[i]] : at[shared[i]] + window].tobytes(), place) != place
+    node = np.cumsum(new)
+    first = shared[np.flatnonzero(new)[node - 1]]  # the first suffix of the same node
+    later = (doc[shared] != doc[first]) | (start[shared] != start[first])
+    low, high = places[at[shared]].tolist(), (places[at[shared] + window] - 1).tolist()
+    words: bytes = b""
+    earliest: dict[bytes, int] = {}
+    for i, (opens, a, b) in enumerate(zip(new.tolist(), low, high, strict=True)):
+        if opens:
+            words, earliest = data[a:b], {}
+        elif data[a:b] != words:  # only the digest is that of the first one; the earliest of equal ones counts
+            j = earliest.setdefault(data[a:b], i)
+            later[i] = doc[shared[i]] != doc[shared[j]] or start[shared[i]] != start[shared[j]]
     return shared[later]
 
 
@@ -308,21 +336,14 @@ def subtree(window: int, bits: int = 64):
     """Repeats among a group's suffixes, and those that chunks have folded, as (doc_id, key, start, n)."""
 
     def run(t: pa.Table) -> pa.Table:
-        numbers = Numbers()
-        held, at, segments, folded, size = [], [], [], [], 0
-        for data in t.column("data").to_pylist():
-            columns, texts, again = unpack(data)
-            lists = [x.split() for x in texts]
-            flat = [w for x in lists for w in x]
-            held.append(np.fromiter(map(numbers.__getitem__, flat), dtype=np.int64, count=len(flat)))
-            at.append(size + np.concatenate([[0], np.cumsum([len(x) for x in lists])[:-1]]).astype(np.int64) if lists else np.zeros(0, np.int64))
-            size += len(flat)
-            segments.append(columns), folded.append(again)
-        words, begin = np.concatenate(held), np.concatenate(at)
+        segments, texts, folded = zip(*map(unpack, t.column("data").to_pylist()), strict=True)
         doc, key, start, count = (np.concatenate(x) for x in zip(*segments, strict=True))
+        data = b"\n".join(x for x in texts if x)
+        places = word_places(data)
+        begin = np.cumsum(count + window - 1) - (count + window - 1)
         segment = np.repeat(np.arange(len(doc)), count)
         within = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
-        later = later_ones(words, begin[segment] + within, doc[segment], start[segment] + within, window, bits)
+        later = later_ones(data, places, begin[segment] + within, doc[segment], start[segment] + within, window, bits)
         s = segment[later]
         one = doc[s], key[s], start[s] + within[later], np.ones(len(s), dtype=np.int64)
         d, k, a, n = runs(*(np.concatenate([x, *y]) for x, y in zip(one, zip(*folded, strict=True), strict=True)))
