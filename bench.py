@@ -1,5 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
+``merge_150`` and ``merge_250`` merge reads of 150 and 250 bases, one pair for each customer: the work of a pair grows
+with the product of its lengths.
+
 BENCH_SF_DIR names the tables and BENCH_CPUS the threads.  Each query runs once to warm up and then
 BENCH_RUNS times; the median counts.  Results are written to a sink that keeps nothing.
 """
@@ -34,12 +37,24 @@ def session() -> SparkSession:
     return spark
 
 
+def long_pairs(spark: SparkSession, n: int):
+    """Pairs of reads of ``n`` bases of a fragment of 1.4 n, or of 0.8 n for each tenth customer."""
+    letters = lambda tag, k: "translate(concat(" + ", ".join(f"md5(concat(k, '{tag}{i}'))" for i in range(-(-k // 32))) + "), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+    quality = lambda tag: letters(tag, n).replace("'ACGTACGTACGTACGT'", "'#%(+.147:=@BDFHI'")
+    df = spark.read.parquet(f"{SF_DIR}/customer.parquet").selectExpr("c_custkey AS k").selectExpr("k", f"substr({letters('a', 2 * n)}, 1, IF(k % 10 = 0, {n * 8 // 10}, {n * 14 // 10})) AS frag")
+    return df.selectExpr(
+        "k AS row_id", "concat('@read', k, '/1') AS f_header", f"substr(concat(frag, {letters('t', n)}), 1, {n}) AS f_seq", f"substr({quality('q')}, 1, {n}) AS f_qual",
+        "concat('@read', k, '/2') AS r_header", f"substr(concat(translate(reverse(frag), 'ACGT', 'TGCA'), {letters('u', n)}), 1, {n}) AS r_seq", f"substr({quality('s')}, 1, {n}) AS r_qual",
+    )
+
+
 def headline(spark: SparkSession) -> dict:
     """Queries over the pairs derived from every order (150,000 at scale 0.1)."""
     pairs = engine.pairs(spark, SF_DIR, "orders", "o_orderkey").repartition(int(CPUS)).cache()
     pairs.count()
     params = MergeParams()
     uniform = MergeParams(empirical_freqs=False)
+    longer = {n: long_pairs(spark, n).repartition(int(CPUS)).cache() for n in (150, 250)}
     ready = overlap.prepared(pairs, uniform)
     return {
         "base_frequencies": lambda: frequencies.base_frequencies(pairs, "f_seq", "r_seq"),
@@ -47,6 +62,7 @@ def headline(spark: SparkSession) -> dict:
         "merge": lambda: merge.merge_pairs(pairs, params),
         "output_records": lambda: fastq.output_records(merge.merge_pairs(pairs, params))["assembled"],
         "pair_lines": lambda: fastq.pair_lines(engine._lines(pairs, "f"), engine._lines(pairs, "r")),
+        **{f"merge_{n}": (lambda df: lambda: merge.merge_pairs(df, params))(df) for n, df in longer.items()},
         "report": lambda: engine.report.disposition_counts(merge.merge_pairs(pairs, params)),
     }
 

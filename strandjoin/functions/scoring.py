@@ -129,7 +129,7 @@ class ScoreTable:
             self.letter[ord(c)] = i
 
     def codes(self, seq: np.ndarray, qual: np.ndarray) -> np.ndarray:
-        return self.letter[seq] * self.QUALITIES + np.minimum(qual, self.QUALITIES - 1)
+        return self.letter[np.minimum(seq, 255)] * self.QUALITIES + np.minimum(qual, self.QUALITIES - 1)
 
     def lookup(self, table: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Values for codes a, b of letters x, y."""

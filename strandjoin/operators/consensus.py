@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,16 @@ from ..plans.params import MergeParams
 HIGHEST = 126  # the last printable quality character
 
 
+def matrices(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and qualities of the consensus, from the codes of letters x, y and qualities u, v of an overlap."""
+    nx, ny, same = (x == 78) | (x == 110), (y == 78) | (y == 110), x == y  # N or n
+    u, v = u.astype(np.int32), v.astype(np.int32)
+    cases = [nx & ny, nx, ny, same]
+    letter = np.select(cases, [np.full_like(x, 78), y, x, x], np.where(u > v, x, y))
+    quality = np.select(cases, [np.minimum(u, v), v, u, u + v - base], np.maximum(u, v))
+    return letter, np.clip(quality, 0, HIGHEST)
+
+
 def _pair(x: Column, y: Column, qx: Column, qy: Column, base: int) -> Column:
     """Consensus of one position as (base, quality byte)."""
     nx, ny = x.isin("N", "n"), y.isin("N", "n")
@@ -20,7 +31,7 @@ def _pair(x: Column, y: Column, qx: Column, qy: Column, base: int) -> Column:
 
 
 def merged(found: DataFrame, params: MergeParams) -> DataFrame:
-    """Adds ``m_seq`` and ``m_qual`` (null where no overlap was found); qualities are capped.
+    """Adds ``m_seq`` and ``m_qual`` (null where no overlap was found), by column functions.
 
     ``found`` has f_seq, f_qual, r_seq, r_qual (reverse-complemented), d and overlap.
     """
@@ -34,4 +45,4 @@ def merged(found: DataFrame, params: MergeParams) -> DataFrame:
     join = lambda a, middle, b: F.concat(F.substring(F.col(a), F.lit(1), i), middle, sequence.suffix_from(b, j + ol))
     m_seq = join("f_seq", text(lambda c: c["b"]), "r_seq")
     m_qual = join("f_qual", text(lambda c: F.chr(c["q"])), "r_qual")
-    return out.withColumn("m_seq", m_seq).withColumn("m_qual", sequence.capped(m_qual, params.cap, params.phred_base)).drop("_c")
+    return out.withColumn("m_seq", m_seq).withColumn("m_qual", m_qual).drop("_c")

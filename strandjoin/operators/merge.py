@@ -11,18 +11,16 @@ from pyspark.sql import functions as F
 from ..functions import sequence
 from ..functions.scoring import BaseFrequencies
 from ..plans.params import MergeParams
-from . import consensus, frequencies, overlap, significance, trim
+from . import frequencies, overlap, significance
 
 ASSEMBLED, UNASSEMBLED, DISCARDED = "assembled", "unassembled", "discarded"
 
 
 def route(found: DataFrame, params: MergeParams, q: float) -> DataFrame:
-    """Adds status and reason, and the reads as they are written: trimmed only if the pair was not merged.
+    """Adds status and reason to assembled pairs, and the reads as they are written: trimmed only if the pair was not merged.
 
     A first read that is too short ends the matter, so the second one is then written untrimmed.
     """
-    base, low = params.phred_base, params.quality_threshold
-    merged = consensus.merged(found, params)
     have = F.col("d").isNotNull()
     tests = (
         (have, "no overlap scores above 0"),
@@ -34,29 +32,25 @@ def route(found: DataFrame, params: MergeParams, q: float) -> DataFrame:
     why = F.lit(None).cast("string")
     for ok, reason in reversed(tests):
         why = F.when(~ok, F.lit(reason)).otherwise(why)
-    out = merged.withColumn("reason", why)
+    out = found.withColumn("reason", why)
     failed = F.col("reason").isNotNull()
+    short = F.col("f_keep") < params.min_trim_len
     out = out.withColumns({
-        "_keep": F.when(failed, trim.forward_length(F.col("f_seq"), F.col("f_qual"), low, base, params.compat)),
-        "_from": F.when(failed, trim.reverse_start(F.col("r_seq"), F.col("r_qual"), low, base)),
-    })
-    short = F.col("_keep") < params.min_trim_len
-    out = out.withColumns({
-        "f_out": F.when(failed, sequence.prefix("f_seq", F.col("_keep"))),
-        "f_out_qual": F.when(failed, sequence.prefix("f_qual", F.col("_keep"))),
-        "r_out": F.when(failed & short, F.col("r_seq")).when(failed, sequence.suffix_from("r_seq", F.col("_from"))),
-        "r_out_qual": F.when(failed & short, F.col("r_qual")).when(failed, sequence.suffix_from("r_qual", F.col("_from"))),
+        "f_out": F.when(failed, sequence.prefix("f_seq", F.col("f_keep"))),
+        "f_out_qual": F.when(failed, sequence.prefix("f_qual", F.col("f_keep"))),
+        "r_out": F.when(failed & short, F.col("r_seq")).when(failed, sequence.suffix_from("r_seq", F.col("r_from"))),
+        "r_out_qual": F.when(failed & short, F.col("r_qual")).when(failed, sequence.suffix_from("r_qual", F.col("r_from"))),
     })
     ratio = lambda c: F.coalesce(sequence.uncalled_ratio(c), F.lit(0.0))
     bad = F.when(short, "forward read too short").when(F.length("r_out") < params.min_trim_len, "reverse read too short")
     bad = bad.when(ratio("f_out") >= params.max_uncalled, "forward read uncalled").when(ratio("r_out") >= params.max_uncalled, "reverse read uncalled")
     out = out.withColumn("_bad", F.when(failed, bad))
     status = F.when(~failed, ASSEMBLED).when(F.col("_bad").isNotNull(), DISCARDED).otherwise(UNASSEMBLED)
-    cap = lambda c: sequence.capped(c, params.cap, base)
+    cap = lambda c: sequence.capped(c, params.cap, params.phred_base)
     ok = ~failed
     return out.select(
         "row_id", "f_header", "r_header", status.alias("status"), F.concat_ws("; ", "reason", "_bad").alias("reason"),
-        F.when(ok, F.col("m_seq")).alias("seq"), F.when(ok, F.col("m_qual")).alias("qual"),
+        F.when(ok, F.col("m_seq")).alias("seq"), F.when(ok, cap("m_qual")).alias("qual"),
         F.col("f_out").alias("f_seq"), cap("f_out_qual").alias("f_qual"), F.col("r_out").alias("r_seq"), cap("r_out_qual").alias("r_qual"),
         "d", "overlap", "asm_len", "score", "oes",
     )
@@ -71,7 +65,7 @@ def merge_pairs(pairs: DataFrame, params: MergeParams | None = None, freqs: Base
     params = params or MergeParams()
     freqs = freqs or frequencies.collect_frequencies(pairs, params.empirical_freqs)
     ready = overlap.prepared(pairs.select("row_id", "f_header", "f_seq", "f_qual", "r_header", "r_seq", "r_qual"), params)
-    out = route(overlap.best_overlap(ready, params, freqs, engine), params, freqs.q)
+    out = route(overlap.assembled(ready, params, freqs, engine), params, freqs.q)
     if params.restore_reverse:
         out = out.withColumns({"r_seq": sequence.reverse_complement("r_seq"), "r_qual": F.reverse("r_qual")})
     return out

@@ -1,4 +1,4 @@
-"""The best overlap of each pair.
+"""The best overlap of each pair, and what follows from it: the merged read and the places of trimming.
 
 ``d`` is where the reverse-complemented second read starts relative to the first base of the first.  Every
 shift from nF-1 down to -(nR-1) is scored over its overlap; the best positive score wins and, among
@@ -6,7 +6,8 @@ equals, the largest d.  Scores are rounded to nine digits before they are compar
 that sum in another order agree on ties.
 
 ``native`` makes a row for each compared pair of bases and aggregates, in generated code; ``arrow`` scores
-batches of pairs of equal lengths with numpy tables, is narrow (no shuffle) and is the faster one.  Pairs
+batches of pairs of equal lengths with numpy tables, is narrow (no shuffle) and is the faster one.  It also builds the consensus and finds
+where reads are trimmed, in the same pass, so that no later filter can make Spark compute them twice.  Pairs
 without a positive score have null results.
 """
 
@@ -23,9 +24,11 @@ from ..functions import scoring, sequence
 from ..functions.scoring import BaseFrequencies, ScoreTable
 from ..plans.params import MergeParams
 from ..shipping import ship
+from . import consensus, trim
 
 DIGITS = 9
 FIELDS = "d int, overlap int, asm_len int, score double, oes double"
+MERGED = "m_seq string, m_qual string, f_keep int, r_from int"
 WORK = 4_000_000  # base pairs that a step of the numpy engine holds
 
 
@@ -70,9 +73,17 @@ def best_overlap_native(ready: DataFrame, params: MergeParams, freqs: BaseFreque
 
 
 def letters(column: pa.Array, rows: np.ndarray, n: int) -> np.ndarray:
-    """The bytes of texts of equal length as a matrix."""
-    data = "".join(column.take(pa.array(rows)).to_pylist()).encode("latin-1", "replace")
-    return np.frombuffer(data, dtype=np.uint8).reshape(len(rows), n)
+    """The characters of texts of equal length as a matrix of codes."""
+    data = "".join(column.take(pa.array(rows)).to_pylist())
+    codes = np.frombuffer(data.encode(), dtype=np.uint8) if data.isascii() else np.frombuffer(data.encode("utf-32-le"), dtype="<u4")
+    return codes.reshape(len(rows), n)
+
+
+def texts(codes: np.ndarray) -> list[str]:
+    """The rows of a matrix of character codes."""
+    n, width = codes.shape
+    data = codes.astype(np.uint8).tobytes().decode("ascii") if codes.max(initial=0) < 128 else codes.astype("<u4").tobytes().decode("utf-32-le")
+    return [data[k * width : (k + 1) * width] for k in range(n)]
 
 
 class Group:
@@ -98,17 +109,32 @@ class Group:
             better = score > best
             best[better], at[better] = score[better], d
         oes = np.zeros(n)
-        for d in np.unique(at[best > 0]):
-            here = np.flatnonzero((at == d) & (best > 0))
-            i, j = self.span(int(d))
+        for d, here in self.by_shift(at, best > 0):
+            i, j = self.span(d)
             oes[here] = np.round(table.lookup(table.oes, self.a[here, i], self.b[here, j], self.x[here, i], self.y[here, j]).sum(axis=1), DIGITS)
         return at, best, oes
 
+    def by_shift(self, at: np.ndarray, found: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for d in np.unique(at[found]):
+            yield int(d), np.flatnonzero((at == d) & found)
+
+    def merged(self, at: np.ndarray, found: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, list[str], list[str]]]:
+        """(rows of the batch, merged reads, their qualities) for each shift."""
+        for d, here in self.by_shift(at, found):
+            i, j = self.span(d)
+            middle = consensus.matrices(self.x[here, i], self.y[here, j], self.qx[here, i], self.qy[here, j], base)
+            ends = ((self.x, self.y), (self.qx, self.qy))
+            whole = [np.concatenate([f[here, : i.start], m, r[here, j.stop :]], axis=1) for m, (f, r) in zip(middle, ends, strict=True)]
+            yield self.rows[here], *map(texts, whole)
+
+
+def by_length(lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for n in np.unique(lengths[lengths > 0]):
+        yield int(n), np.flatnonzero(lengths == n)
 
-def groups(batch: pa.RecordBatch, table: ScoreTable) -> Iterator[Group]:
+
+def groups(batch: pa.RecordBatch, n_f: np.ndarray, n_r: np.ndarray, table: ScoreTable) -> Iterator[Group]:
     """The pairs of a batch, dealt by lengths and into steps of bounded work.  Pairs with an empty read are left out."""
-    n_f = np.array([len(s) for s in batch.column("f_seq").to_pylist()])
-    n_r = np.array([len(s) for s in batch.column("r_seq").to_pylist()])
     code = n_f * (n_r.max(initial=0) + 1) + n_r
     for c in np.unique(code):
         rows = np.flatnonzero(code == c)
@@ -120,21 +146,42 @@ def groups(batch: pa.RecordBatch, table: ScoreTable) -> Iterator[Group]:
             yield Group(batch, rows[s : s + step], a, b, table)
 
 
-def overlap_finder(method: int, freqs: BaseFrequencies, base: int):
+def overlap_finder(params: MergeParams, freqs: BaseFrequencies, whole: bool):
+    """whole: with the merged read and the places of trimming."""
+    base, low = params.phred_base, params.quality_threshold
+    tested = "f_seq" if params.compat == "reference" else "f_qual"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ScoreTable(method, freqs, base)
+        table = ScoreTable(params.score_method, freqs, base)
         for batch in batches:
             n = len(batch)
+            n_f, n_r = (np.array([len(s) for s in batch.column(c).to_pylist()], dtype=np.int64) for c in ("f_seq", "r_seq"))
             d, ol, asm, score, oes, found = (np.zeros(n) for _ in range(6))
-            for g in groups(batch, table):
+            m_seq: list[str | None] = [None] * n
+            m_qual: list[str | None] = [None] * n
+            for g in groups(batch, n_f, n_r, table):
                 gd, gs, go = g.best(table)
                 r = g.rows
                 d[r], score[r], oes[r], found[r] = gd, gs, go, gs > 0
                 ol[r] = np.minimum(g.n_f, gd + g.n_r) - np.maximum(gd, 0)
                 asm[r] = gd + g.n_r
+                for at, seqs, quals in g.merged(gd, gs > 0, base) if whole else ():
+                    for k, s, q in zip(at.tolist(), seqs, quals, strict=True):
+                        m_seq[k], m_qual[k] = s, q
             none = found == 0
-            ints = [pa.array(v.astype(np.int32), mask=none) for v in (d, ol, asm)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *ints, pa.array(score, mask=none), pa.array(oes, mask=none)], [*batch.schema.names, "d", "overlap", "asm_len", "score", "oes"])
+            out = {name: pa.array(v.astype(np.int32), mask=none) for name, v in (("d", d), ("overlap", ol), ("asm_len", asm))}
+            out |= {"score": pa.array(score, mask=none), "oes": pa.array(oes, mask=none)}
+            if whole:
+                keep, start = n_f.copy(), np.zeros(n, dtype=np.int64)
+                if low > 0 or params.compat == "reference":  # no valid quality is below 0, but a letter may be
+                    for k, rows in by_length(n_f):
+                        keep[rows] = trim.first_low_pair(letters(batch.column(tested), rows, k), low, base)
+                if low > 0:
+                    for k, rows in by_length(n_r):
+                        start[rows] = trim.last_low_pair(letters(batch.column("r_qual"), rows, k), low, base)
+                out |= {"m_seq": pa.array(m_seq, pa.string()), "m_qual": pa.array(m_qual, pa.string())}
+                out |= {"f_keep": pa.array(keep.astype(np.int32)), "r_from": pa.array(start.astype(np.int32))}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out.values()], [*batch.schema.names, *out])
 
     return run
 
@@ -143,11 +190,28 @@ def fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def _arrow(ready: DataFrame, params: MergeParams, freqs: BaseFrequencies, whole: bool) -> DataFrame:
+    ship(ready.sparkSession)
+    schema = [fields(ready), FIELDS, *[MERGED] * whole]
+    return ready.mapInArrow(overlap_finder(params, freqs, whole), ", ".join(schema))
+
+
 def best_overlap(ready: DataFrame, params: MergeParams, freqs: BaseFrequencies, engine: str = "arrow") -> DataFrame:
     """``ready`` (see ``prepared``) with d, overlap, asm_len, score and oes."""
     if engine == "native":
         return best_overlap_native(ready, params, freqs)
     if engine != "arrow":
         raise ValueError("engine is 'arrow' or 'native'")
-    ship(ready.sparkSession)
-    return ready.mapInArrow(overlap_finder(params.score_method, freqs, params.phred_base), f"{fields(ready)}, {FIELDS}")
+    return _arrow(ready, params, freqs, False)
+
+
+def assembled(ready: DataFrame, params: MergeParams, freqs: BaseFrequencies, engine: str = "arrow") -> DataFrame:
+    """``best_overlap`` with m_seq, m_qual (uncapped; null where no overlap was found), f_keep and r_from (for a pair that is not merged)."""
+    if engine == "arrow":
+        return _arrow(ready, params, freqs, True)
+    found = consensus.merged(best_overlap(ready, params, freqs, engine), params)
+    base, low = params.phred_base, params.quality_threshold
+    return found.withColumns({
+        "f_keep": trim.forward_length(F.col("f_seq"), F.col("f_qual"), low, base, params.compat),
+        "r_from": trim.reverse_start(F.col("r_seq"), F.col("r_qual"), low, base),
+    })

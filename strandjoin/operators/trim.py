@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import sequence
 
 
+def _both_low(codes: np.ndarray, threshold: int, base: int) -> np.ndarray:
+    """Whether positions k and k + 1 are both below the threshold."""
+    low = codes.astype(np.int64) - base < threshold
+    return low[:, :-1] & low[:, 1:]
+
+
+def first_low_pair(codes: np.ndarray, threshold: int, base: int) -> np.ndarray:
+    """Bases to keep of texts of equal length, as a matrix of codes: up to the first low pair."""
+    both = _both_low(codes, threshold, base)
+    return np.where(both.any(axis=1), both.argmax(axis=1) + 1, codes.shape[1]) if both.shape[1] else np.full(len(codes), codes.shape[1])
+
+
+def last_low_pair(codes: np.ndarray, threshold: int, base: int) -> np.ndarray:
+    """Where such texts start after trimming: at the last low pair."""
+    both = _both_low(codes, threshold, base)
+    return np.where(both.any(axis=1), both.shape[1] - both[:, ::-1].argmax(axis=1), 0) if both.shape[1] else np.zeros(len(codes), np.int64)
+
+
 def _low_pairs(text: Column, threshold: int, base: int) -> Column:
     """Positions i (from 1) where i-1 and i are both below the threshold, in order."""
     low = F.transform(sequence.characters(text), lambda c: F.ascii(c) - base < threshold)

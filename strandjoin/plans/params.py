@@ -147,5 +147,33 @@ def parse_args(argv: list[str]) -> Run:
     return Run(given["left"], given["right"], given["output"], params, memory, threads)
 
 
+# What each option does, for the help text; its default is that of the field.
+HELP = {
+    "left": "FASTQ file of the first reads",
+    "right": "FASTQ file of the second reads",
+    "output": "prefix of the four outputs",
+    "p_value": f"level of the significance test, one of {', '.join(P_TEXTS)}; 1.0 switches it off",
+    "min_overlap": "least overlap of a merged pair",
+    "max_asm_len": "greatest length of a merged read",
+    "min_asm_len": "least length of a merged read",
+    "min_trim_len": "least length of a read after trimming",
+    "quality_threshold": "reads that are not merged are cut where two neighbouring qualities are below it",
+    "max_uncalled": "greatest share of N bases, from 0 to 1",
+    "test_method": "1 tests with the least allowed overlap, 2 with the observed one",
+    "empirical_freqs": "take equal base frequencies instead of those of the reads",
+    "score_method": "1 expected score, 2 probability of a match, 3 plus and minus one without qualities",
+    "phred_base": "character of quality 0",
+    "cap": "greatest quality that is written; 0 is no limit",
+    "memory": "bytes, with K, M or G (left to Spark)",
+    "threads": "number of threads (left to Spark)",
+    "help": "this text",
+}
+
+
 def usage() -> str:
-    return "\n".join(["options:", *(f"  -{a}  {', '.join('--' + x for x in longs)}" for a, longs, _ in OPTIONS)])
+    default = {f.name: f.default for f in fields(MergeParams)}
+    lines = ["options:"]
+    for letter, longs, field in OPTIONS:
+        given = f" (default {default[field]})" if field in default and field != "empirical_freqs" else " (required)" if field in ("left", "right", "output") else ""
+        lines.append(f"  -{letter}  {', '.join('--' + x for x in longs):45} {HELP[field]}{given}")
+    return "\n".join(lines)

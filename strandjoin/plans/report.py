@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .params import MergeParams
+from .params import MergeParams, Run
 
 STATUSES = ("assembled", "discarded", "unassembled")
 
@@ -24,16 +24,34 @@ def thousands(c: Column | str) -> Column:
     return F.format_number(F.col(c) if isinstance(c, str) else c, 0)
 
 
-def report_lines(counts: DataFrame) -> DataFrame:
-    """(status, line): the run report as text."""
-    total = counts.agg(F.sum("n").alias("total"))
-    line = F.concat(F.initcap("status"), F.lit(" reads: "), thousands("n"), F.lit(" / "), thousands("total"), F.lit(" ("), F.format_string("%.3f", "pct"), F.lit("%)"))
-    return counts.crossJoin(total).select("status", line.alias("line"))  # one row of totals
-
-
-def options_table(spark: SparkSession, params: MergeParams) -> DataFrame:
-    """(option, value) rows of the options that a run uses."""
-    rows = F.array(*[F.struct(F.lit(k).alias("option"), F.lit(v).alias("value")) for k, v in params.describe()])
+# The lines of the run report, in order: a title, and the disposition it counts or the output it names.
+COUNT_LINES = (
+    ("Assembled reads ...................: ", "assembled"),
+    ("Discarded reads ...................: ", "discarded"),
+    ("Not assembled reads ...............: ", "unassembled"),
+)
+FILE_LINES = (
+    ("Assembled reads file...............: ", "assembled"),
+    ("Discarded reads file...............: ", "discarded"),
+    ("Unassembled forward reads file.....: ", "unassembled_forward"),
+    ("Unassembled reverse reads file.....: ", "unassembled_reverse"),
+)
+
+
+def report_lines(counts: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """(n, line): the run report as text, in the order of ``n``; ``names`` are the outputs that it lists."""
+    of = lambda c, status=None: F.coalesce(F.max(F.when(F.col("status") == status, F.col(c))) if status else F.sum(c), F.lit(0))
+    one = counts.agg(of("n").alias("total"), *[of(c, s).alias(f"{c}_{s}") for _, s in COUNT_LINES for c in ("n", "pct")])
+    lines = [F.concat(F.lit(title), thousands(f"n_{s}"), F.lit(" / "), thousands("total"), F.lit(" ("), F.format_string("%.3f", F.col(f"pct_{s}").cast("double")), F.lit("%)")) for title, s in COUNT_LINES]
+    lines += [F.lit(title + names[key]) for title, key in FILE_LINES] if names else []
+    return one.select(F.posexplode(F.array(*lines)).alias("n", "line")).select((F.col("n") + 1).alias("n"), "line")
+
+
+def options_table(spark: SparkSession, options: MergeParams | Run) -> DataFrame:
+    """(option, value) rows of the options that a run uses, with its files if a parsed command line is given."""
+    files = [(k, getattr(options, k)) for k in ("left", "right", "output")] if isinstance(options, Run) else []
+    params = options.params if isinstance(options, Run) else options
+    rows = F.array(*[F.struct(F.lit(k).alias("option"), F.lit(v).alias("value")) for k, v in (*files, *params.describe())])
     return spark.range(1).select(F.inline(rows))
 
 

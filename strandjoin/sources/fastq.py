@@ -16,6 +16,7 @@ from ..functions import sequence
 from ..plans.params import MergeParams
 
 READ = "row_id long, header string, seq string, qual string"
+BROADCAST_SPLITS = 1_000_000  # more rows of the table of splits (about 150 bytes each) are joined with a shuffle
 PHASES = ("header", "seq", "plus", "qual")
 # What is appended to the output prefix.
 SUFFIXES = {
@@ -39,7 +40,10 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     order = Window.orderBy("_file", "_start")  # one row for each split
     split = split.withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     split = split.withColumn("_end", F.max(F.col("_before") + F.col("_last") - F.col("_first")).over(Window.partitionBy()))
-    lines = raw.join(F.broadcast(split.select("_file", "_start", "_first", "_before", "_end")), ["_file", "_start"])
+    split = split.select("_file", "_start", "_first", "_before", "_end")
+    # Splits are packed into tasks, and none holds parts of two files.
+    most = len(raw.inputFiles()) + raw.rdd.getNumPartitions()
+    lines = raw.join(F.broadcast(split) if most <= BROADCAST_SPLITS else split, ["_file", "_start"])
     number = F.col("_before") + F.col("_id") - F.col("_first")
     return lines.where(number <= F.col("_end")).select(number.alias("line_no"), F.regexp_replace("line", "\r$", "").alias("line"))
 

@@ -6,6 +6,7 @@ from strandjoin.functions.scoring import BaseFrequencies, ScoreTable
 from strandjoin.operators import frequencies
 from strandjoin.plans.params import MergeParams, memory_bytes, parse_args, usage
 from strandjoin.plans import report
+from strandjoin.sources import fastq
 
 
 def test_cutoffs_have_the_published_values():
@@ -61,7 +62,7 @@ def test_options():
     for bad in (["-f", "a"], ["-x", "1"], ["-f", "a", "-r", "b", "-o", "c", "-p", "0.1"], ["-f", "a", "-r", "b", "-o", "c", "-u", "2"], ["-f"], ["-f", "a", "-r", "b", "-o", "c", "-j", "0"]):
         with pytest.raises(ValueError):
             parse_args(bad)
-    assert memory_bytes("2K") == 2048 and parse_args(["-h"]).help and "--p-value" in usage()
+    assert memory_bytes("2K") == 2048 and parse_args(["-h"]).help and "--p-value" in usage() and "(default 0.01)" in usage() and "(required)" in usage()
     for field, value in (("min_overlap", 0), ("test_method", 3), ("score_method", 0), ("cap", -1), ("compat", "x"), ("on_count_mismatch", "x")):
         with pytest.raises(ValueError):
             MergeParams(**{field: value})
@@ -71,6 +72,8 @@ def test_report(spark):
     df = spark.createDataFrame([("assembled",)] * 2 + [("discarded",)], "status string")
     counts = report.disposition_counts(df)
     assert {tuple(r) for r in counts.collect()} == {("assembled", 2, 66.667), ("discarded", 1, 33.333), ("unassembled", 0, 0.0)}
-    assert "Assembled reads: 2 / 3 (66.667%)" in {r["line"] for r in report.report_lines(counts).collect()}
+    lines = [r["line"] for r in report.report_lines(counts, fastq.output_names("out")).orderBy("n").collect()]
+    assert lines[0] == "Assembled reads ...................: 2 / 3 (66.667%)" and lines[2] == "Not assembled reads ...............: 0 / 3 (0.000%)"
+    assert len(lines) == 7 and lines[4] == "Discarded reads file...............: out.discarded.fastq" and report.report_lines(counts).count() == 3
     assert report.disposition_counts(df.where("false")).where("n <> 0 OR pct <> 0").isEmpty()
     assert spark.range(1).select(report.thousands(F.lit(1234567))).first()[0] == "1,234,567"
