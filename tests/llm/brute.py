@@ -76,9 +76,9 @@ def shingles(text, n=4):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def near_components(docs):
+def near_components(docs, n=4):
     """{id: (set size, component)} of (id, text), all pairs."""
-    sets = {i: shingles(t) for i, t in docs}
+    sets = {i: shingles(t, n) for i, t in docs}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -117,6 +117,25 @@ def contamination(text, bench, n=13):
     return len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit) and 20 * len(hit) >= len(w)
 
 
+# ---- languages ----
+def language(text, model, margin, block=8192):
+    """(language, score, rejected), compressing everything anew."""
+    import zstandard as z
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not words:
+        return "und", 0.0, True
+    data = " ".join(words)
+    sizes = []
+    for x in model["languages"]:
+        d = z.ZstdCompressionDict(model["texts"][x], dict_type=z.DICT_TYPE_RAWCONTENT)
+        size = lambda t: len(z.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False).compress(t.encode()))  # noqa: B023, E731
+        sizes.append(sum(size(b) + sum(size(f" {w} ") for w in set(b.split())) for b in (data[i : i + block] for i in range(0, len(data), block))))
+    best, second = sorted(sizes)[:2]
+    score = min(1.0, 2.0 * (second - best) / second)
+    return model["languages"][sizes.index(best)], score, score < margin
+
+
 # ---- repeats ----
 def without_repeats(docs, n=20):
     """{id: (words, removed, digest)} of (id, text) with distinct ids."""

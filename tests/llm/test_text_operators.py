@@ -232,17 +232,25 @@ def test_contamination_matches_brute_force(spark, docs, table):
     names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = {i: brute.contamination(t, bench) for i, t in docs}
     assert any(w[-1] for w in want.values())
-    for limit in (10_000, 0):
-        got = decontaminate.find_contamination(table, b, set_limit=limit).collect()
+    for limit, part in ((10_000, 1), (0, 1_000_000), (0, 40)):  # in the plan, broadcast at once, broadcast in parts
+        got = decontaminate.find_contamination(table, b, set_limit=limit, broadcast_limit=part).collect()
         assert len(got) == len(docs)
         for r in got:
             assert tuple(r[c] for c in names) == want[r["doc_id"]], r["doc_id"]
-    kept = decontaminate.decontaminate(table.select("doc_id", "text"), b).collect()
-    assert {r["doc_id"] for r in kept} == {i for i, w in want.items() if not w[-1]}
+        kept = decontaminate.decontaminate(table, b, set_limit=limit, broadcast_limit=part)
+        assert kept.columns == table.columns and kept.where("items <> 'x' OR spans <> 'x' OR n_words <> 'x'").isEmpty()
+        assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[-1]}
     assert decontaminate.find_contamination(table, spark.createDataFrame([], "item_id long, text string")).where("contaminated OR n_hit > 0").isEmpty()
-    spans = decontaminate.decontaminate(spark.createDataFrame([(1, "x ka lo mi y"), (2, "x")], SCHEMA), spark.createDataFrame([(1, "ka lo mi")], "item_id long, text string"), how="spans")
-    assert [r["text"] for r in spans.orderBy("doc_id").collect()] == ["x y", "x"]
-    assert decontaminate.find_contamination(empty(spark), b).count() == 0
+    assert decontaminate.find_contamination(empty(spark), b).count() == 0 and decontaminate.find_contamination(empty(spark), b, set_limit=0).count() == 0
+
+
+def test_spans_are_cut_and_the_rest_of_the_text_stays(spark):
+    texts = ["Hello, World! It's fine.\nKa, lo mi. Next: Line-2.", "x", None, "KA LO MI", "ka lo mi ka lo mi! End", "Ünder: ka lo  mi ka lo", "...", "a; ka lo mi-xyz QQ w; ka-lo-mi (b)"]
+    bench = spark.createDataFrame([(1, "ka lo mi"), (2, "mi xyz qq")], "item_id long, text string")
+    want = ["Hello, World! It's fine.\n. Next: Line-2.", "x", None, "", "! End", "Ünder:  ka lo", "...", "a;  w;  (b)"]
+    for limit in (1000, 0):
+        got = decontaminate.decontaminate(spark.createDataFrame(list(enumerate(texts)), SCHEMA), bench, how="spans", set_limit=limit)
+        assert [r["text"] for r in got.orderBy("doc_id").collect()] == want
 
 
 # ---- near duplicates ----
@@ -450,6 +458,26 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_languages_match_a_slow_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    model = language.train(docs.where(~language.held_out()))
+    odd = [(10_000 + i, None, t) for i, t in enumerate(["ja", "the", "12 der 4", "é", "word " * 4000, "!?", "", None, "x" * 20_000])]
+    texts = [(r["doc_id"], r["lang"], r["text"]) for r in docs.collect()] + odd
+    rows = spark.createDataFrame(texts, docs.schema).withColumns({c: F.lit("own") for c in ("_text", "items")})
+    for r in language.identify(rows, model).collect():
+        assert (r["lang_pred"], r["score"], r["rejected"]) == brute.language(dict((i, t) for i, _, t in texts)[r["doc_id"]], model, language.MARGIN), r["doc_id"]
+        assert r["_text"] == r["items"] == "own"
+
+
+def test_training_texts_are_taken_from_all_over(spark):
+    text = " ".join(f"w{i}" for i in range(5_000))
+    got = spark.createDataFrame([(text,), ("short one",)], "t string").select(language.spread(F.col("t")).alias("s")).collect()
+    places = [int(w[1:]) for w in got[0]["s"].split()]
+    assert places[0] < 60 and places[-1] > 4_940 and sorted(set(places)) == places and {p // 700 for p in places} == set(range(8)) and got[1]["s"] == "short one"
+    sample = language.build(["xx"], [("xx", " ".join(chr(97 + i // 26 % 26) + chr(97 + i % 26) + chr(97 + i // 676) for i in range(9_000)))], 2_000)["texts"]["xx"].decode().split()
+    assert sample[0] == "aaa" and max(w[2] for w in sample if len(w) == 3) == "n" and len({w[2] for w in sample}) > 8
+
+
 def test_language_edge_cases(spark):
     train = spark.createDataFrame([(1, "xx", "the of and to in " * 50), (2, "yy", "der die das und nicht " * 50), (3, None, "zz"), (4, "xx", None)], "doc_id long, lang string, text string")
     model = language.train(train)
