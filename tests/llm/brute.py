@@ -70,6 +70,114 @@ def redacted(text, mark="[SECRET]"):
     return out + text[end:]
 
 
+# ---- licences ----
+def licences(text, L):
+    """(identifiers, licences, status); ``L`` holds the fixed tables and the patterns of words.  Sentences are sought token by token."""
+    critical = re.compile(L.CRITICAL, re.A)
+    t = text or ""
+    if not critical.search(t):
+        return [], [], "none"
+    t = re.sub(r"(?m)^[ \t]*(?://+|#+|/?\*+/?|--+|;+|%+)[ \t]?", "", t)
+    t = re.sub(r"(?i)(spdx-license-identifier):\s*(" + L.SPDX_LIST + ")", "\n\n\\1=\\2\n\n", t)
+    found = []
+    for s in re.split(r"(?<=[.!?])(?<!\bv\.)(?<!\bV\.)\s+|\n\s*\n", t):
+        if critical.search(s):
+            spdx = re.search(L.SPDX, s)
+            found += [("spdx", spdx[1])] if spdx else _sentence(s, L, critical)
+    ids, used = [i for i, _ in found], [False] * len(found)
+    out = []
+    left = list(found)
+    for licence, run in L.RULES:
+        k = 0
+        while k + len(run) <= len(left):
+            if tuple(i for i, _ in left[k : k + len(run)]) == run:
+                version = next((v for _, v in left[k : k + len(run)] if v), "")
+                each = re.findall(rf"(?i){L.SPDX_ID}(?:\s+WITH\s+{L.SPDX_ID})?", version) if run == ("spdx",) else [version]
+                out += [licence.replace("#", v) for v in each if run != ("spdx",) or v.upper() not in ("AND", "OR")]
+                left[k : k + len(run)] = [("used", "")]
+            k += 1
+    used = [i for i, _ in left if i == "used"]
+    status = "none" if not ids else "known" if len(used) == len(left) else "partial" if used else "unknown"
+    return ids, list(dict.fromkeys(out)), status
+
+
+def _sentence(s, L, critical):
+    """Known sentences of one, and ``unknown`` for what is left of it with licence words."""
+    rows = re.sub(r"[;:]\s+", "\n", s).split("\n")
+    rows = [x for r in rows for x in (re.split(L.HOLDER_END, r) if re.search(L.HOLDER, r) else [r])]
+    tokens = []  # (word, begins a line)
+    for r in rows:
+        w = re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", re.sub(r"(?<![0-9])\.|\.(?![0-9])", " ", re.sub(r"[^a-z0-9.]+", " ", r.lower())))
+        tokens += [(x, k == 0) for k, x in enumerate(w)]
+    starts = lambda i: i == 0 or i >= len(tokens) or tokens[i][1]
+    fits = lambda want, i: i + len(want) <= len(tokens) and all(t[0][0].isdigit() if w == "#" else t[0] == w for w, t in zip(want, tokens[i:], strict=False))
+    by = lambda d: sorted(((k.split(" "), v) for k, v in d.items()), key=lambda x: (-len(" ".join(x[0])), " ".join(x[0])))
+    plain = by({k: v for k, v in L.SENTENCES.items() if not (k.startswith("licensed under ") and k[15:] in L.NAMES)})
+    names = by(L.NAMES)
+    text = " ".join(w for w, _ in tokens)
+    offsets = [sum(len(w) + 1 for w, _ in tokens[:i]) for i in range(len(tokens) + 1)]
+
+    def match(i, after):
+        if starts(i):
+            for want, v in plain:
+                if fits(want, i) and starts(i + len(want)):
+                    return v, i + len(want), i
+            lead = re.match("(" + L.SUBJECT.replace("[ |]", " ") + L.VERB.replace("[ |]", " ") + ")", text[offsets[i] :])
+            if lead:
+                # The shorter ways of reading what stands before the name, longest first.
+                for j in range(i + lead[0].count(" "), i, -1):
+                    if re.fullmatch(L.SUBJECT.replace("[ |]", " ") + L.VERB.replace("[ |]", " "), text[offsets[i] : offsets[j]]):
+                        for want, v in names:
+                            if fits(want, j):
+                                return v, j + len(want), i
+        if after:
+            lead = re.match("(?:or|and) (?:under )?(?:the )?", text[offsets[i] :])
+            for want, v in names if lead else ():
+                if fits(want, i + lead[0].count(" ")):
+                    return v, i + lead[0].count(" ") + len(want), i
+        return None
+
+    def named(x):
+        """The sentence or notice that is all of ``x``."""
+        is_ = lambda k, y: re.fullmatch(re.escape(k).replace(r"\#", "#").replace("#", "[0-9.]+"), y)
+        lead = re.match(L.SUBJECT.replace("[ |]", " ") + L.VERB.replace("[ |]", " ") + "|(?:or|and) (?:under )?(?:the )?", x)
+        return next((v for k, v in L.SENTENCES.items() if is_(k, x)), None) or next((v for k, v in L.NAMES.items() if lead and is_(k, x[lead.end() :])), None)
+
+    out, rest, i, after = [], [], 0, True
+
+    def close():
+        lines, line = [], []
+        for k in rest:
+            if tokens[k][1] and line:
+                lines.append(line)
+                line = []
+            line.append(tokens[k][0])
+        lines = [" ".join(x) for x in [*lines, line]]
+        whole = named(" ".join(tokens[k][0] for k in rest))
+        if rest and whole:
+            out.append((whole, next((tokens[k][0] for k in rest if tokens[k][0][0].isdigit()), "")))
+            rest.clear()
+            return
+        other = [x for x in lines if not x.startswith("copyright") or critical.search(x.removeprefix("copyright"))]
+        if critical.search(" ".join(other)):
+            version = re.search(L.VERSION, " ".join(tokens[k][0] for k in rest))
+            out.append(("unknown", version[0] if version else ""))
+        rest.clear()
+
+    while i < len(tokens):
+        m = match(i, after)
+        if m:
+            close()
+            version = next((w for w, _ in tokens[i : m[1]] if w[0].isdigit()), "")
+            out.append((m[0], version))
+            i, after = m[1], True
+        else:
+            rest.append(i)
+            i, after = i + 1, False
+    close()
+    return out
+
+
 # ---- near duplicates ----
 def shingles(text, n=4):
     w = (text or "").encode().lower().split()

@@ -221,6 +221,37 @@ def test_every_run_of_a_rule_gives_its_licence(spark):
     assert got[3] == (["SPDX:GPL-2.0-only WITH Classpath-exception-2.0", "SPDX:MIT", "SPDX:BSD-3-Clause"], "known") and got[4] == (["MIT"], "known") and got[5][0] == ["SPDX:MIT"]
 
 
+def test_notices_and_whole_texts_of_common_licences(spark):
+    texts = [
+        "This file is released under the MIT License.", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.", "Dual licensed under the MIT license or the Apache License, Version 2.0",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "Distributed under the Boost Software License, Version 1.0.",
+        "This is free and unencumbered software released into the public domain.", "This code is licensed under the GPLv3 or later.", "The library is available under the terms of the GNU Lesser General Public License version 2.1", "Mozilla Public License Version 2.0\n==================================", "Our product is released under the New BSD License",
+        "Released under the GNU General Public License v2.0\nReleased under the GNU General Public License v3.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+        "Licensed under the Apache License, Version 2.0.\n\nReleased under the MIT License.\n\nLicensed under the Apache License, Version 1.1.", "Published under CC BY-SA 4.0", "GPL v2 then GPL v3",
+    ]
+    want = [["MIT"], ["GPL-3"], ["Apache-2.0", "MIT"], ["ISC"], ["BSL-1.0"], ["Unlicense"], ["GPL-3+"], ["LGPL-2.1"], ["MPL-2.0"], [], ["GPL-2.0", "GPL-3.0"], ["Apache-2.0"], ["EPL-2.0"], ["Apache-2.0", "Apache-1.1", "MIT"], ["CC-BY-SA-4.0"], []]
+    assert [x for x, _ in scanned(spark, texts)] == want
+
+
+def test_licences_match_a_slow_version(spark):
+    rng = random.Random(14)
+    said = [s.replace("#", v) for s in licenses.SENTENCES for v in ("2.0", "3")]
+    heads = ["This file is ", "the software is ", "Dual ", "Copyright 2020 X, ", "Copyright (c) X\n", "* ", "// ", "", "", ""]
+    verbs = ["licensed under the ", "Released under ", "available under the terms of the ", "distributed under a ", "licensed "]
+    ends = [". ", ".\n", "\n", "; ", ": ", " or the ", " and ", "\n\n", " ", ", v. 2 ", " all rights reserved. ", " SPDX-License-Identifier: MIT OR (GPL-2.0 WITH x-1)\n", " own license terms ", " some words "]
+    make = lambda: rng.choice(heads) + (rng.choice(said) if rng.random() < 0.6 else rng.choice(verbs) + rng.choice(list(licenses.NAMES)).replace("#", "2.1"))
+    texts = ["".join(make() + rng.choice(ends) for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    texts = [" ".join(w.capitalize() if rng.random() < 0.2 else w for w in t.split(" ")) if rng.random() < 0.5 else t for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumns({n: F.lit("own") for n in ("_text", "_sent", "items")})
+    statuses = set()
+    for r in licenses.scan_licenses(df).collect():
+        want = brute.licences(texts[r["doc_id"]], licenses)
+        assert (r["license_sentences"], r["licenses"], r["license_status"]) == want, texts[r["doc_id"]]
+        assert r["_text"] == r["_sent"] == r["items"] == "own"
+        statuses.add(want[2])
+    assert statuses >= {"known", "partial", "unknown"}
+
+
 # ---- contamination ----
 
 
@@ -475,7 +506,7 @@ def test_training_texts_are_taken_from_all_over(spark):
     places = [int(w[1:]) for w in got[0]["s"].split()]
     assert places[0] < 60 and places[-1] > 4_940 and sorted(set(places)) == places and {p // 700 for p in places} == set(range(8)) and got[1]["s"] == "short one"
     sample = language.build(["xx"], [("xx", " ".join(chr(97 + i // 26 % 26) + chr(97 + i % 26) + chr(97 + i // 676) for i in range(9_000)))], 2_000)["texts"]["xx"].decode().split()
-    assert sample[0] == "aaa" and max(w[2] for w in sample if len(w) == 3) == "n" and len({w[2] for w in sample}) > 8
+    assert sample[0] == "aaa" and max(w[2] for w in sample if len(w) == 3) >= "m" and len({w[2] for w in sample if len(w) == 3}) > 8
 
 
 def test_language_edge_cases(spark):
