@@ -14,7 +14,7 @@ Candidates are verified on the full sets, read again from the texts of the class
 Pairs within a bucket grow with the square of its size, so they are not made at once.  First each
 member is compared with the least class of its bucket.  Components of the links found are merged, and
 only buckets in which several components meet are looked at again (those of a few bands first): there,
-blocks of members ordered by set size are compared by sketch, two blocks to a task, leaving out blocks whose
+members are dealt into blocks by size class and hash, and blocks are compared by sketch, two to a task, leaving out blocks whose
 sizes cannot reach the threshold.  Members with a candidate in another component are joined with their
 texts, and the task verifies the candidates, likely ones first, until their components are joined or none
 is left.  It returns a forest of links, never pairs of a whole group.
@@ -26,7 +26,8 @@ round written to the shared folder.
 
 A null text, or one without words, has an empty set and is linked with nothing.  Rows with one id are
 one document if their sets are equal; otherwise each row keeps its set size and the id has one component.
-A null id takes part in no link and has a null component.
+A null id takes part in no link and has a null component.  An empty table gives an empty table, and very long texts are taken whole.
+Only the id and the outputs are returned, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import cut, drop, small_batches, table
@@ -204,7 +205,7 @@ def joiner(shingle: int, limit: int, numerator: int, denominator: int):
     """
 
     def run(t: pa.Table) -> pa.Table:
-        block, ids, n, comp, sketch = columns = _columns(t)
+        block, ids, n, comp, sketch = _columns(t)
         texts = t.column("text")
         sets: dict[int, np.ndarray] = {}
         parent: dict[int, int] = {}
@@ -219,18 +220,23 @@ def joiner(shingle: int, limit: int, numerator: int, denominator: int):
                 sets[i] = shingle_set(texts[i].as_py(), shingle)
             return sets[i]
 
-        pairs = [(d, np.full(len(r), i), r) for i, r, d in _candidates(*columns, t.column("lo")[0].as_py(), t.column("hi")[0].as_py(), limit, numerator, denominator)]
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         a_out, b_out = [], []
-        if pairs:
-            d, i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            for k in np.argsort(d, kind="stable"):
-                x, y = find(int(comp[i[k]])), find(int(comp[j[k]]))
-                if x != y:
-                    a, b = of(int(i[k])), of(int(j[k]))
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if denominator * both >= numerator * (len(a) + len(b) - both):
-                        parent[max(x, y)] = min(x, y)
-                        a_out.append(ids[i[k]]), b_out.append(ids[j[k]])
+        # Near sketches first, in passes over growing distances: a pass holds the candidates of one row, and looks only
+        # between components that earlier passes have not joined.
+        least = -1
+        for most in sorted({limit * k // 4 for k in range(1, 5)}):
+            roots = np.array([find(int(c)) for c in comp])
+            for i, r, d in _candidates(block, ids, n, roots, sketch, lo, hi, most, numerator, denominator):
+                for j in r[np.argsort(d, kind="stable")][int((d <= least).sum()) :]:
+                    x, y = find(int(comp[i])), find(int(comp[j]))
+                    if x != y:
+                        a, b = of(int(i)), of(int(j))
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if denominator * both >= numerator * (len(a) + len(b) - both):
+                            parent[max(x, y)] = min(x, y)
+                            a_out.append(ids[i]), b_out.append(ids[j])
+            least = most
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
     return run
@@ -332,13 +338,17 @@ def sketches_near(a: str, b: str, bits: int, limit: int):
 
 def _cross(open_: DataFrame, docs: DataFrame, shingle: int, limit: int, percent: int, weight: int = BLOCK) -> DataFrame:
     """Links across components of buckets (band, id, comp, n, sketch), found block by block."""
-    # Blocks are cut along the set sizes, so that each holds a bounded amount of text.
-    heavy = F.col("n") + 500
-    by_size = Window.partitionBy("band", "slice").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)
-    total = open_.groupBy("band").agg(F.sum(heavy).alias("total"))
-    sliced = open_.join(total, "band").withColumn("slice", F.when(F.col("total") <= weight, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))).cast("int"))
-    sliced = sliced.withColumn("block", F.col("slice").cast("long") * 1_000_000 + F.floor(F.coalesce(F.sum(heavy).over(by_size), F.lit(0)) / weight))
-    blocks = sliced.select("band", "block", "slice").distinct()
+    # Sets of like sizes form a slice, and a slice is dealt by a hash into blocks of a bounded amount of text.  All this needs of the rows is a
+    # sum for each band and size class, so a band that many rows share is never sorted or held in one task.
+    open_ = open_.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int"))
+    sums = cut(open_.groupBy("band", "class").agg(F.sum(F.col("n") + 500).alias("weight")), "sums")
+    whole = sums.groupBy("band").agg(F.sum("weight").alias("total"))
+    fits = F.col("total") <= weight
+    slices = sums.join(whole, "band").select("band", "class", F.when(fits, 0).otherwise(F.col("class")).alias("slice"), F.when(fits, 1).otherwise(F.ceil(F.col("weight") / weight)).cast("long").alias("parts"))
+    slices = cut(slices, "slices")
+    few = slices.limit(500_001).count() <= 500_000  # 24 bytes each
+    sliced = open_.join(F.broadcast(slices) if few else slices, ["band", "class"]).withColumn("block", F.col("slice").cast("long") * 1_000_000_000 + F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = slices.select("band", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("band", "slice", (F.col("slice").cast("long") * 1_000_000_000 + F.col("part")).alias("block")).distinct()
     left, right = blocks.select("band", F.col("block").alias("lo"), F.col("slice").alias("s0")), blocks.select("band", F.col("block").alias("hi"), F.col("slice").alias("s1"))
     tasks = left.join(right, "band").where("lo <= hi AND s1 <= s0 + 1").select("band", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
     columns = ["band", "lo", "hi", "block", "id", "n", "comp", "sketch"]
@@ -356,4 +366,20 @@ def op3_minhash_neardup(spark, sf_dir):
 
 
 QUERIES = {"op3_minhash_neardup": op3_minhash_neardup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_minhash_neardup": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + least(4, len(w)) - 1], ' ')) || len(w[i:i + 3]) AS g FROM d, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+c AS (SELECT doc_id, least(doc_id, coalesce(b, doc_id)) AS component_id FROM d LEFT JOIN m ON a = doc_id),
+e AS (SELECT s.doc_id, md5(string_agg(g, ',' ORDER BY g)) AS k FROM s GROUP BY s.doc_id),
+o AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM e)
+SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = c.doc_id AS kept, coalesce(class_id, c.doc_id) AS class_id
+FROM c LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)""",
+}
