@@ -8,9 +8,10 @@ perturbation sets (shift and expand).  Buckets rank their vectors by exact cosin
 visit them, and the tables' candidates are merged and ranked exactly in double precision.
 
 Equal vectors form a class that is indexed and searched once, however many rows it has; the few
-smallest ids of each class stand for it in results.  A bucket's rows are salted into blocks of at most
-about ``block`` vectors, so no task holds a hot bucket, and no candidate is dropped.  Each block returns the best
-few of each query only, so what leaves the buckets grows with the queries and not with bucket sizes.
+smallest ids of each class stand for it in results.  A bucket's rows, and the queries that visit it, are salted into blocks of at most
+about ``block`` vectors, so no task holds a hot bucket or all of its queries, and no candidate is dropped.  Each block returns the best
+few of each query only, so what leaves the buckets grows with the queries and not with bucket sizes.  Ties, to twelve digits, go to the class
+with the smaller least id.
 Queries that found too few candidates are searched exactly, against all rows, in blocks.
 
 Nothing is fitted: projections depend on a seed and the dimension only.  On structureless vectors (as
@@ -18,7 +19,8 @@ random ones) recall needs many probes; ``recall`` measures it against brute forc
 
 Null vectors, zero vectors and vectors with null or non-finite components take no part; vectors of
 another dimension are never compared.  Rows with a null id take no part.  Repeated rows (same id, same
-vector) count once.  An empty table gives an empty table.
+vector) count once.  An empty table gives an empty table, and one with a single vector too.  Only the id and the vector are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -127,7 +129,7 @@ def indexer(tables: int, hashes: int, width: float, probes: int | None):
                     keys, row, which = bucket_key(np.array(found)), np.array(row), np.array(which)
                 for s in range(0, len(row), 20_000):
                     r = pa.array(row[s : s + 20_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(which[s : s + 20_000].astype(np.int32)), pa.array(keys[s : s + 20_000]), part.column("dim").take(r), part.column("id").take(r), part.column("vec").take(r)], ["t", "bucket", "dim", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(which[s : s + 20_000].astype(np.int32)), pa.array(keys[s : s + 20_000]), *[part.column(c).take(r) for c in ("dim", "id", "head", "vec")]], ["t", "bucket", "dim", "id", "head", "vec"])
 
     return run
 
@@ -136,25 +138,25 @@ def ranker(keep: int):
     """A block's vectors and the queries that visit it -> each query's best ``keep``."""
 
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"q": [], "id": [], "score": []}
+        out = {"q": [], "id": [], "head": [], "score": []}
         if len(index) and len(queries):
-            v, ids = _matrix(index.column("vec")), index.column("id").to_numpy()
-            order = np.argsort(ids)
-            v, ids = v[order], ids[order]
+            v, ids, heads = _matrix(index.column("vec")), index.column("id").to_numpy(), index.column("head").to_numpy()
+            order = np.lexsort((ids, heads))
+            v, ids, heads = v[order], ids[order], heads[order]
             norm = np.sqrt((v * v).sum(axis=1))
             q, qid = _matrix(queries.column("vec")), queries.column("id").to_numpy()
             for s in range(0, len(q), 256):
                 score = (q[s : s + 256] @ v.T) / np.sqrt((q[s : s + 256] ** 2).sum(axis=1))[:, None] / norm
                 n = min(keep, len(ids))
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(score), 1))
-                # Ties at the edge go to smaller ids, as everywhere: all that reach the last score compete.
+                # Ties at the edge go to smaller least ids, as everywhere: all that reach the last score compete.
                 edge = np.take_along_axis(score, best, 1).min(axis=1) - 1e-12
                 for i in range(len(score)):
                     able = np.flatnonzero(score[i] >= edge[i])
-                    able = able[np.lexsort((ids[able], -score[i, able]))][:n] if len(able) > n else able
-                    out["q"].append(np.full(len(able), qid[s + i])), out["id"].append(ids[able]), out["score"].append(score[i, able])
+                    able = able[np.lexsort((able, -np.round(score[i, able], 12)))][:n] if len(able) > n else able
+                    out["q"].append(np.full(len(able), qid[s + i])), out["id"].append(ids[able]), out["head"].append(heads[able]), out["score"].append(score[i, able])
         flat = lambda k, kind: pa.array(np.concatenate(out[k]) if out[k] else np.array([], kind))
-        return pa.table({"q": flat("q", np.int64), "id": flat("id", np.int64), "score": flat("score", np.float64)})
+        return pa.table({"q": flat("q", np.int64), "id": flat("id", np.int64), "head": flat("head", np.int64), "score": flat("score", np.float64)})
 
     return run
 
@@ -172,19 +174,33 @@ def exact_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranked(found: DataFrame, keep: int) -> DataFrame:
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return found.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep).drop("r")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "head", "id")
+    each = found.groupBy("q", "id", "head").agg(F.round(F.max("score"), 12).alias("score"))
+    return each.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep).drop("r")
+
+
+def _dealt(rows: DataFrame, block: int, parts: str, salt: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Adds ``parts``, the number of blocks that the rows of (t, bucket, dim) make up, and ``salt``, the block of each row.
+
+    The rows stay where they are: only the table of crowded buckets moves, which has at most rows / block rows.
+    """
+    key = ["t", "bucket", "dim"]
+    crowded = cut(rows.groupBy(*key).count().where(F.col("count") > block).select(*key, F.ceil(F.col("count") / block).cast("int").alias(parts)), "crowded")
+    few = crowded.limit(1_000_001).count() <= 1_000_000  # 20 bytes each
+    joined = rows.join(F.broadcast(crowded) if few else crowded, key, "left").withColumn(parts, F.coalesce(parts, F.lit(1)))
+    return joined.withColumn(salt, F.pmod(F.xxhash64("id"), F.col(parts)).cast("int")), crowded.withColumnRenamed(parts, f"other_{parts}"), few
 
 
 def _search(index: DataFrame, probes: DataFrame, keep: int, block: int) -> DataFrame:
-    """Candidates from equal (t, bucket, dim); large buckets are dealt into salted blocks."""
+    """Candidates from equal (t, bucket, dim); crowded buckets, and the queries of much visited ones, are dealt into blocks."""
     key = ["t", "bucket", "dim"]
-    salts = index.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
-    index = index.join(salts, key).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    probes = probes.join(salts, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    cols = [*key, "salt", "id", "vec"]
-    left, right = index.select(*cols).groupBy(*key, "salt"), probes.select(*cols).groupBy(*key, "salt")
-    return left.cogroup(right).applyInArrow(ranker(keep), "q long, id long, score double")
+    index, many_rows, few_rows = _dealt(index, block, "rows", "i")
+    probes, many_probes, few_probes = _dealt(probes, block, "visits", "j")
+    every = lambda df, crowded, few, parts, name: df.join(F.broadcast(crowded) if few else crowded, key, "left").withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce(f"other_{parts}", F.lit(1)) - 1)))
+    cols = [*key, "i", "j", "id", "head", "vec"]
+    left = every(index, many_probes, few_probes, "visits", "j").select(*cols).groupBy(*key, "i", "j")
+    right = every(probes, many_rows, few_rows, "rows", "i").select(*cols).groupBy(*key, "i", "j")
+    return left.cogroup(right).applyInArrow(ranker(keep), "q long, id long, head long, score double")
 
 
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
@@ -198,9 +214,9 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     # A head is named by its smallest id; one id with several vectors is several heads, so heads get numbers.
     heads = cut(heads.join(rows.select("key", "dim", "vec"), ["key", "dim"]).dropDuplicates(["key", "dim"]).select("key", "dim", "head", "vec", F.xxhash64("key", "dim").alias("id")), "heads")
     queries = cut(rows.where("is_query").select("key", "dim", F.col("id").alias("query_id")).distinct(), "queries")
-    asked = cut(heads.join(queries.select("key", "dim").distinct(), ["key", "dim"]).select("id", "dim", "vec"), "asked")
-    made = "t int, bucket long, dim int, id long, vec binary"
-    by_id = heads.select("id", "dim", "vec")
+    asked = cut(heads.join(queries.select("key", "dim").distinct(), ["key", "dim"]).select("id", "head", "dim", "vec"), "asked")
+    made = "t int, bucket long, dim int, id long, head long, vec binary"
+    by_id = heads.select("id", "head", "dim", "vec")
     index = by_id.mapInArrow(indexer(tables, hashes, width, None), made)
     visits = asked.mapInArrow(indexer(tables, hashes, width, probes), made)
     few = k + 1
@@ -208,10 +224,10 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
     # Queries with fewer classes than there could be are searched exactly.
     per_dim = by_id.groupBy("dim").agg(F.least(F.count("*"), F.lit(few)).alias("could"), F.ceil(F.count("*") / block).alias("blocks"))
     poor = asked.join(found.groupBy(F.col("q").alias("id")).agg(F.count("*").alias("got")), "id", "left").join(F.broadcast(per_dim), "dim")  # one row for each dimension
-    poor = cut(poor.where(F.coalesce("got", F.lit(0)) < F.col("could")).select("id", "dim", "vec", "blocks"), "poor")
+    poor = cut(poor.where(F.coalesce("got", F.lit(0)) < F.col("could")).select("id", "head", "dim", "vec", "blocks"), "poor")
     if not poor.isEmpty():
-        dealt = by_id.join(F.broadcast(per_dim), "dim").select(F.lit(-1).alias("t"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("bucket"), "dim", "id", "vec")
-        all_blocks = poor.select(F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("bucket"), "dim", "id", "vec")
+        dealt = by_id.join(F.broadcast(per_dim), "dim").select(F.lit(-1).alias("t"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("bucket"), "dim", "id", "head", "vec")
+        all_blocks = poor.select(F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("bucket"), "dim", "id", "head", "vec")
         found = cut(_ranked(found.unionByName(_search(dealt, all_blocks, few, 2 * block)), few), "found")
     names = heads.select(F.col("id"), F.col("key").alias("c_key"), F.col("dim").alias("c_dim"), "vec")
     asked_key = heads.select(F.col("id").alias("q"), "key", "dim", F.col("vec").alias("q_vec"))

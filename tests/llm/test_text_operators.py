@@ -554,6 +554,21 @@ def test_shards_are_gapless_and_even(spark, table, docs):
     assert len({(r["shard"], r["slot"]) for r in sharding.shard_rows(same, ["doc_id", "text"], 4).collect()}) == 21
 
 
+def test_many_equal_rows_are_spread(spark):
+    rows = [(1, "same")] * 3_000 + [(i, f"t{i}") for i in range(2, 400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7).withColumns({"_copy": F.lit("own"), "_part": F.lit("own"), "c0": F.lit("own"), "count": F.lit("own")})
+    out = sharding.shard_rows(df, ["doc_id", "text"], 8, rows_per_partition=100, least_partitions=4)
+    got = out.collect()
+    assert out.columns == [*df.columns, *sharding.OUT] and all(r["_copy"] == r["_part"] == r["c0"] == r["count"] == "own" for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(map(len, by.values())) == sorted(len(rows) // 8 + (s < len(rows) % 8) for s in range(8)) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(rows)
+    first = [sum(1 for r in got if r["shard"] == s and r["doc_id"] == 1) for s in range(8)]
+    assert min(first) > 300 and max(first) < 425
+
+
 def test_matrix_has_its_sums_and_law():
     counts, sizes = [100, 0, 37, 63], [50, 50, 50, 50]
     m = sharding.communication_matrix(counts, sizes, 3)

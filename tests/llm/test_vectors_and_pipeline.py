@@ -52,6 +52,14 @@ def test_many_equal_vectors_tie_to_smaller_ids(spark):
     assert got[50] == [1, 2, 3, 4, 5] and got[450] == [400, 401, 402, 403, 404]
 
 
+def test_parallel_vectors_tie_to_smaller_ids(spark):
+    v = [0.3, -0.2, 0.9, 0.5]
+    rows = [(i, [x * 2.0 ** (i % 40 - 20) for x in v]) for i in range(1, 300)] + [(i, [-x for x in v]) for i in range(300, 340)]
+    for block in (4096, 16):
+        got = found(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), query(), block=block))
+        assert got[100] == [1, 2, 3, 4, 5] and got[50] == [1, 2, 3, 4, 5] and got[300] == [301, 302, 303, 304, 305]
+
+
 def test_recall_on_the_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
