@@ -11,8 +11,9 @@ after an executor was lost makes the same choice.
 Shards are dense ranges of ``slot``; their sizes differ by one row at most.
 
 Nulls: a null key hashes like any other value.  Rows that agree in every key column are
-interchangeable and get different slots.  An empty table gives an empty table.  Input columns named
-like the outputs (``law``, ``shard``, ``slot``, ``grown_shard``) are replaced.
+interchangeable and get different slots; so many of them that they would crowd a partition are numbered first.  An empty
+table gives an empty table, and texts of any length go through.  Input columns named like the outputs (``law``, ``shard``, ``slot``,
+``grown_shard``) are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -92,12 +93,27 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int = 8, seed: int = 17,
     number of partitions is rows / rows_per_partition (at least ``least_partitions``).
     """
     spark = df.sparkSession
-    df = without(df, *OUT, "_part", "_key", "_sub")
+    columns = without(df, *OUT).columns
+    named = dict(zip(columns, (f"c{i}" for i in range(len(columns))), strict=True))  # no column of the caller's clashes with one of the operator's
+    df = df.select(*[F.col(f"`{c}`").alias(named[c]) for c in columns])
+    keys = [named[k] for k in keys]
     hashed = lambda s: F.xxhash64(F.lit(seed + s), *[F.col(k) for k in keys])
     total = df.count()
     parts = max(least_partitions, math.ceil(total / rows_per_partition))
-    placed = df.withColumn("_part", F.pmod(hashed(0), F.lit(parts)).cast("int")).withColumn("_key", hashed(1))
-    counts = dict(placed.groupBy("_part").count().collect())  # at most one row for each partition
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, dict]:
+        placed = rows.withColumn("_part", F.pmod(hashed(0), F.lit(parts)).cast("int")).withColumn("_key", hashed(1))
+        return placed, dict(placed.groupBy("_part").count().collect())  # at most one row for each partition
+
+    placed, counts = dealt(df)
+    hot = [p for p, n in counts.items() if n > 4 * rows_per_partition]
+    if hot:
+        # Equal rows are interchangeable: where they crowd a partition, each gets a number of its own, kept in a written table, as a further key.
+        heavy = placed.where(F.col("_part").isin(hot)).groupBy("_key").count().where(F.col("count") > rows_per_partition).select("_key", F.lit(True).alias("_many"))
+        numbered = placed.join(F.broadcast(heavy), "_key", "left")  # fewer rows than partitions
+        df = cut(numbered.withColumn("_copy", F.when(F.col("_many"), F.monotonically_increasing_id()).otherwise(0)).select(*df.columns, "_copy"), "copies")
+        keys = [*keys, "_copy"]
+        placed, counts = dealt(df)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     order = sorted(counts)
     matrix = communication_matrix([counts[p] for p in order], sizes, seed)
@@ -120,7 +136,7 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int = 8, seed: int = 17,
     return (
         sent.join(F.broadcast(before), ["shard", "_sub"])  # at most one row for each partition
         .withColumn("slot", slot)
-        .select(*df.columns, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        .select(*[F.col(x).alias(c) for c, x in named.items()], F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
     )
 
 
