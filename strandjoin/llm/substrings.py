@@ -40,7 +40,7 @@ from .neardup import mix
 from .store import cut, small_batches, table
 
 WINDOW, GROUP, ANCHOR = 20, 1_000_000, 4
-CHUNK_WORDS = 700_000  # words of the documents that a task holds at a time
+CHUNK_WORDS = 600_000  # words of the documents that a task holds at a time
 MOST_PARTITIONS = 20_000
 NO_ID = -(2**63)
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -62,14 +62,17 @@ def word_places(data: bytes) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((a == 32) | (a == 10)) + 1, [len(a) + 1]])
 
 
-def word_values(data: bytes, places: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a sum over its bytes, weighted by their places in the word."""
-    sizes = np.diff(places)
-    a = np.frombuffer(data + b"\n", np.uint8)
-    within = np.arange(len(a)) - np.repeat(places[:-1], sizes)
-    weighted = _PLACE[within & 4095] * a
-    weighted[places[1:] - 1] = 0  # what stands between words
-    return mix(np.add.reduceat(weighted, places[:-1]) + sizes.astype(np.uint64))
+def word_values(data: bytes, places: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each word: a sum over its bytes, weighted by their places in the word; ``step`` words at a time."""
+    out = np.empty(len(places) - 1, dtype=np.uint64)
+    for k in range(0, len(out), step):
+        p = places[k : k + step + 1]
+        sizes, first = np.diff(p), p[:-1] - p[0]
+        a = np.frombuffer(data[p[0] : p[-1] - 1] + b"\n", np.uint8)
+        weighted = _PLACE[(np.arange(len(a)) - np.repeat(first, sizes)) & 4095] * a
+        weighted[p[1:] - 1 - p[0]] = 0  # what stands between words
+        out[k : k + step] = mix(np.add.reduceat(weighted, first) + sizes.astype(np.uint64))
+    return out
 
 
 def follow(h: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -415,4 +418,14 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {"op10_substring_dedup": op10_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
+f AS (SELECT doc_id, i FROM x QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+g AS (SELECT DISTINCT doc_id, p FROM f, unnest(range(i, i + 20)) AS t(p)),
+e AS (SELECT doc_id, p, w[p] AS v FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+k AS (SELECT doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY p) AS s FROM e ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+}
