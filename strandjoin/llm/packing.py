@@ -16,7 +16,8 @@ task holds all pieces of a common length, and each finds its place by binary sea
 
 A null or empty text is the end token alone.  Rows with equal ids are packed as separate documents.
 Only documents longer than the capacity are cut: into pieces of the capacity, after a first piece
-that holds the remainder.  An empty table gives an empty table.
+that holds the remainder; texts of any length are taken whole.  An empty table gives an empty table.  Only the id and the text are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ Units are pieces between white space (see ``pieces``) for tokenizers whose patte
 else the tokens that the library reports with their offsets.  SentencePiece models, which see
 a text as a whole, are run over whole texts.
 
-A null text counts as empty: 0 bytes, 0 tokens.  Ids may be null or repeated; each row gets its row.
-Columns named like the outputs are replaced.
+A null text counts as empty: 0 bytes, 0 tokens.  Ids may be null or repeated; each row gets its row, and an empty table gives an empty one.
+Columns named like the outputs are replaced, all others but the text kept.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .pieces import Memory, boundary_kind, library, starts, word_pieces
-from .store import small_batches, table, without
+from .store import fresh, small_batches, table, without
 
 OUT = ("n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened")
 CHUNK, OVERLAP = 32_768, 256
@@ -103,11 +104,11 @@ def count_long(units: Units, text: str, chunk: int = CHUNK, overlap: int = OVERL
     return total + sum(n for _, _, n in left), chunks, widened
 
 
-def counter(path: str, limit: int, chunk: int, overlap: int):
+def counter(path: str, limit: int, chunk: int, overlap: int, held: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _encoders.get(path) or _encoders.setdefault(path, Units(path))
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column(held).to_pylist()]
             n, chunks, widened = [0] * len(texts), [1] * len(texts), [0] * len(texts)
             short = [k for k, t in enumerate(texts) if len(t) <= chunk or units.whole]
             for k, x in zip(short, units.count([texts[k] for k in short]), strict=True):
@@ -115,8 +116,8 @@ def counter(path: str, limit: int, chunk: int, overlap: int):
             for k in set(range(len(texts))) - set(short):
                 n[k], chunks[k], widened[k] = count_long(units, texts[k], chunk, overlap)
             made = [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n]), pa.array(chunks, pa.int32()), pa.array(widened, pa.int32())]
-            kept = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, *made], [*[c for c in batch.schema.names if c != "_text"], *OUT])
+            kept = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != held]
+            yield pa.RecordBatch.from_arrays([*kept, *made], [*[c for c in batch.schema.names if c != held], *OUT])
 
     return run
 
@@ -124,12 +125,12 @@ def counter(path: str, limit: int, chunk: int, overlap: int):
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The other columns of ``df`` with ``n_bytes``, ``n_tokens``, ``over_limit``, ``n_chunks`` and ``n_widened``."""
     small_batches(df.sparkSession)
-    kept = without(df, *OUT)
-    names = [c for c in kept.columns if c != text_col]
-    slim = kept.select(*[kept[f"`{c}`"] for c in names], df[f"`{text_col}`"].cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text")
+    (held,) = fresh(df, "_text")
+    names = [c for c in without(df, *OUT).columns if c != text_col]
+    slim = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias(held))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != held)
     schema = ", ".join(x for x in (fields, "n_bytes long, n_tokens long, over_limit boolean, n_chunks int, n_widened int") if x)
-    return slim.mapInArrow(counter(path, limit, chunk, overlap), schema)
+    return slim.mapInArrow(counter(path, limit, chunk, overlap, held), schema)
 
 
 def op2_token_counts(spark, sf_dir):

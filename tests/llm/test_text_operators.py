@@ -409,6 +409,9 @@ def test_token_counts_are_the_library_s(spark, docs, table):
             t = dict(docs)[r["doc_id"]] or ""
             assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), count(t), count(t) > 100)
     assert tokens.count_tokens(empty(spark), path).count() == 0
+    named = spark.createDataFrame([(1, "hello world")], SCHEMA).withColumns({"_text": F.lit("own"), "n_bytes": F.lit("own")})
+    row = tokens.count_tokens(named, path).first()
+    assert (row["_text"], row["n_bytes"]) == ("own", 11)
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
