@@ -9,29 +9,16 @@ largest single step.
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import new_folder
 from ..shipping import ship
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary folder only on a local master without one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="strandjoin-")
-    spark.conf.set("spark.strandjoin.local.dir", where)
-    return where
-
-
 @contextlib.contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
@@ -48,8 +35,7 @@ def setting(spark: SparkSession, key: str, value: str):
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to a new folder in the shared store and return the table that was written."""
     spark = df.sparkSession
-    local = spark.conf.get("spark.strandjoin.local.dir", None)
-    path = f"{local or shared_folder(spark)}/strandjoin/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     with setting(spark, _CLEAN, "true"), setting(spark, "spark.sql.parquet.compression.codec", "zstd"):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
