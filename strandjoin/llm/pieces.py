@@ -17,9 +17,10 @@ import base64
 import json
 import os
 import re
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import accumulate, groupby
 
-SPECIAL = "<|"
+STEP = 65_536
 _BLANK_THEN_SPACE = re.compile(r"\s |^ ")
 _BYTE_SPLIT = re.compile(r"(?<=\S)(?= )")
 
@@ -94,33 +95,61 @@ def byte_pieces(text: str) -> list[str]:
     return [first, *[" " + p for p in rest]]
 
 
+def byte_slices(text: str, step: int = STEP) -> Iterator[str]:
+    """Slices of about ``step`` characters whose ids, joined, are the ids of ``text``."""
+    at = 0
+    while len(text) - at > step:
+        cut = _BYTE_SPLIT.search(text, at + step)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 class ByteEncoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
-    ranks: the same vocabulary as a table of ranks, for a faster library; pieces that may hold a
-    special token always go to the tokenizer file itself.
+    ranks: the same vocabulary as a table of ranks, for a library so fast that remembering pieces would cost more than it
+    saves; it takes texts in slices, so that its lists of ids stay small.  Pieces that hold a special token always go to the
+    tokenizer file itself.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         import numpy as np
 
         self.tok, self.kind = library(path), boundary_kind(path)
-        pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
-        slow = lambda ps: [pack(e.ids) for e in self.tok.encode_batch_fast(ps, add_special_tokens=False)]
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.pack = lambda ids: np.asarray(ids, dtype="<u4").tobytes()
+        self.fast = None
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-            self.encode = lambda ps: [pack(fast.encode_ordinary(p)) if SPECIAL not in p else slow([p])[0] for p in ps]
-        else:
-            self.encode = slow
-        self.memory = Memory(self.encode)
+            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.memory = Memory(self.slow)
+
+    def slow(self, texts: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def ranked(self, text: str, step: int = STEP) -> bytes:
+        """The ids of one text by the table of ranks."""
+        if self.kind != "byte":
+            return self.slow([text])[0] if self.has_special(text) else self.pack(self.fast(text))
+        if not self.has_special(text):
+            return b"".join([self.pack(self.fast(s)) for s in byte_slices(text, step)])
+        parts = ((special, "".join(run)) for special, run in groupby(byte_pieces(text), self.has_special))
+        return b"".join([self.slow([p])[0] if special else self.ranked(p, step) for special, p in parts])
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if self.fast:
+            return [self.ranked(t) if t else b"" for t in texts]
         if self.kind != "byte":
-            return self.encode(texts)
+            return self.slow(texts)
         parts = [byte_pieces(t) for t in texts]
         self.memory.learn(p for ps in parts for p in ps)
         return [b"".join(map(self.memory.__getitem__, ps)) if t else b"" for t, ps in zip(texts, parts, strict=True)]

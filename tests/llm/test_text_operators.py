@@ -455,12 +455,19 @@ def test_fast_encoder_gives_the_library_s_ids():
     import numpy as np
 
     rng = random.Random(8)
-    letters = ["a", "B", "é", " ", "  ", "\n", "\t ", "　", "'s", "<|endoftext|>", "12", "!", "word", "\x1c", "\x85", "字", " ,", "."]
+    letters = ["a", "B", "é", " ", "  ", "\n", "\t ", "　", "'s", "<|endoftext|>", "<|", "|>", "12", "!", "word", "\x1c", "\x85", "字", " ,", "."]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 120))) for _ in range(400)]
     made = packing.public_bpe()
     tok = pieces.library(made["path"])
-    for t, got in zip(texts, pieces.ByteEncoder(**made).ids(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    encoder, plain = pieces.ByteEncoder(**made), pieces.ByteEncoder(made["path"])
+    for t, got, slow in zip(texts, encoder.ids(texts), plain.ids(texts), strict=True):
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want and slow == got, t
+        for step in (1, 7, 50):  # slices of a long text
+            assert "".join(pieces.byte_slices(t, step)) == t
+            assert encoder.ranked(t, step) == got, (t, step)
+    for t in ("x" * 300_000, " " * 200_000, "word " * 60_000 + "<|endoftext|>" + " nächste" * 40_000):
+        assert np.frombuffer(encoder.ids([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("capacity", [16, 64, 1024])
