@@ -44,6 +44,7 @@ from .store import cut, drop, small_batches, table
 
 SHINGLE, BANDS, ROWS, BITS, MARGIN, SEED = 4, 32, 5, 512, 0.22, 20240229
 BLOCK = 2_000_000  # shingles, and 500 for each set, of the sets of a block
+HELD = 500_000  # candidate pairs that a task sorts at once
 EARLY = 4
 EMPTY_KEY = b""
 
@@ -83,14 +84,20 @@ def _seeds(k: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**64, k, dtype=np.uint64), rng.integers(0, 2**64, k, dtype=np.uint64) | np.uint64(1)
 
 
-def minhash(h: np.ndarray, xor: np.ndarray, odd: np.ndarray, step: int = 2048) -> np.ndarray:
-    """One minimum for each (xor, odd); long sets in steps, so that memory is bounded."""
+def minhash(h: np.ndarray, xor: np.ndarray, odd: np.ndarray, step: int = 256) -> np.ndarray:
+    """One minimum for each (xor, odd); long sets in steps, in two buffers that fit a core's cache."""
     out = np.full(len(xor), np.uint64(2**64 - 1))
+    v = np.empty((len(xor), min(step, len(h))), np.uint64)
+    w = np.empty_like(v)
     for i in range(0, len(h), step):
-        v = (h[None, i : i + step] ^ xor[:, None]) * odd[:, None]
-        v ^= v >> np.uint64(32)
-        v *= np.uint64(0x9E3779B97F4A7C15)
-        np.minimum(out, v.min(axis=1), out=out)
+        part = h[None, i : i + step]
+        x, y = v[:, : part.shape[1]], w[:, : part.shape[1]]
+        np.bitwise_xor(part, xor[:, None], out=x)
+        np.multiply(x, odd[:, None], out=x)
+        np.right_shift(x, np.uint64(32), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint64(0x9E3779B97F4A7C15), out=x)
+        np.minimum(out, x.min(axis=1), out=out)
     return out
 
 
@@ -197,6 +204,33 @@ def scout(limit: int, numerator: int, denominator: int):
     return run
 
 
+def _likely_first(candidates, comp, roots, limit: int, held: int = HELD) -> Iterator[tuple[int, int]]:
+    """The pairs of rows that ``candidates`` gives, near sketches first.
+
+    Up to ``held`` pairs are held and sorted.  More of them are made anew in passes over growing distances: a pass holds the
+    candidates of one row, and looks only between components that earlier passes have not joined.
+    """
+    found, size = [], 0
+    for i, r, d in candidates(comp, limit):
+        found.append((np.full(len(r), i), r, d))
+        size += len(r)
+        if size > held:
+            break
+    else:
+        if found:
+            i, r, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(d, kind="stable")
+            yield from zip(i[order].tolist(), r[order].tolist(), strict=True)
+        return
+    del found
+    least = -1
+    for most in sorted({limit * k // 4 for k in range(1, 5)}):
+        for i, r, d in candidates(roots(), most):
+            for j in r[np.argsort(d, kind="stable")][int((d <= least).sum()) :]:
+                yield i, j
+        least = most
+
+
 def joiner(shingle: int, limit: int, numerator: int, denominator: int):
     """Links between the components of two blocks' members, on the full sets.
 
@@ -222,21 +256,15 @@ def joiner(shingle: int, limit: int, numerator: int, denominator: int):
 
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         a_out, b_out = [], []
-        # Near sketches first, in passes over growing distances: a pass holds the candidates of one row, and looks only
-        # between components that earlier passes have not joined.
-        least = -1
-        for most in sorted({limit * k // 4 for k in range(1, 5)}):
-            roots = np.array([find(int(c)) for c in comp])
-            for i, r, d in _candidates(block, ids, n, roots, sketch, lo, hi, most, numerator, denominator):
-                for j in r[np.argsort(d, kind="stable")][int((d <= least).sum()) :]:
-                    x, y = find(int(comp[i])), find(int(comp[j]))
-                    if x != y:
-                        a, b = of(int(i)), of(int(j))
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if denominator * both >= numerator * (len(a) + len(b) - both):
-                            parent[max(x, y)] = min(x, y)
-                            a_out.append(ids[i]), b_out.append(ids[j])
-            least = most
+        roots = lambda: np.array([find(int(c)) for c in comp])
+        for i, j in _likely_first(lambda c, most: _candidates(block, ids, n, c, sketch, lo, hi, most, numerator, denominator), comp, roots, limit):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                a, b = of(int(i)), of(int(j))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if denominator * both >= numerator * (len(a) + len(b) - both):
+                    parent[max(x, y)] = min(x, y)
+                    a_out.append(ids[i]), b_out.append(ids[j])
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
     return run

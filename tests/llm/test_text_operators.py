@@ -326,6 +326,40 @@ def test_odd_sketch_estimates_high_similarities():
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.07
 
 
+def test_joiner_links_the_same_components_sorted_or_in_passes(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    xor, odd = neardup._seeds(neardup.BANDS * neardup.ROWS)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randint(30, 90))]
+        for _ in range(rng.randint(1, 8)):
+            near = [w if rng.random() > 0.03 else "x" for w in words]
+            texts.append(" ".join(near))
+
+    def groups(n, links):
+        label = list(range(n))
+        for a, b in links:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    sets = [neardup.shingle_set(t) for t in texts]
+    sketch = [neardup.odd_sketch(neardup.minhash(h, xor, odd)).tolist() for h in sets]
+    n = len(texts)
+    group = pa.table({"lo": pa.array([0] * n), "hi": pa.array([1] * n), "block": pa.array([k % 2 for k in range(n)]), "id": pa.array(range(n)), "n": pa.array([len(h) for h in sets]),
+                      "comp": pa.array(range(n)), "sketch": pa.array(sketch, pa.list_(pa.int64())), "text": pa.array(texts)})
+    linked = lambda a, b: (k := len(set(sets[a].tolist()) & set(sets[b].tolist()))) * 100 >= 80 * (len(sets[a]) + len(sets[b]) - k)
+    want = groups(n, [(a, b) for a in range(0, n, 2) for b in range(1, n, 2) if linked(a, b)])
+    limit = neardup.most_differing(0.8, neardup.MARGIN, neardup.BITS, len(xor))
+    for held in (1_000_000, 3, 0):
+        monkeypatch.setattr(neardup._likely_first, "__defaults__", (held,))
+        links = neardup.joiner(4, limit, 80, 100)(group).to_pylist()
+        assert all(linked(x["a"], x["b"]) for x in links)
+        assert groups(n, [(x["a"], x["b"]) for x in links]) == want and len(links) < n
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["id"]: r["comp"] for r in neardup.components(links).collect()}
