@@ -235,4 +235,33 @@ def op4_secret_scan(spark, sf_dir):
 
 
 QUERIES = {"op4_secret_scan": op4_secret_scan}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_secret_scan": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, name, p, least) AS (VALUES
+  (1, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0),
+  (2, 'access', 'AKIA[A-Z0-9]+', 20), (3, 'hex', '[0-9a-f]+', 24), (4, 'entropy', '[A-Za-z0-9+/=_-]+', 20)),
+m AS (SELECT r, kind, name, p, least, regexp_extract_all(t, p) AS h, string_split_regex(t, p) AS g FROM d, k),
+u AS (SELECT r, kind, name, p, least, unnest(h) AS h, unnest(g[:len(h)]) AS g, generate_subscripts(h, 1) AS i FROM m),
+q AS (SELECT *, CAST(sum(length(g) + length(h)) OVER (PARTITION BY r, kind ORDER BY i) AS BIGINT) AS stop FROM u),
+s AS (SELECT r, kind, name, h, stop - length(h) AS start, stop FROM q WHERE length(h) >= least AND (kind <> 1 OR length(regexp_extract(h, p, 2)) >= 6)),
+b AS (SELECT * FROM s WHERE kind < 4),
+c AS (SELECT * FROM s WHERE kind = 4 AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = s.r AND b.start < s.stop AND s.start < b.stop)),
+x AS (SELECT DISTINCT h, array_to_string([y FOR y IN string_split_regex(h, '[-_/=+]') IF NOT regexp_full_match(y, '[A-Za-z]{0,19}[0-9]{0,4}')], '/') AS rest FROM c),
+z AS (SELECT h AS v FROM x UNION SELECT rest FROM x),
+w AS (SELECT v, i, unnest(string_split(substr(v, i, 16), '')) AS ch FROM z, unnest(range(1, length(v) - 14)) AS t(i)),
+n AS (SELECT v, i, CASE WHEN ch BETWEEN 'A' AND 'Z' THEN 1 WHEN ch BETWEEN 'a' AND 'z' THEN 2 ELSE 3 END AS class, count(*) AS n FROM w WHERE regexp_matches(ch, '[A-Za-z0-9]') GROUP BY v, i, ch),
+e AS (SELECT v, i, class, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS bits FROM n GROUP BY GROUPING SETS ((v, i, class), (v, i)) HAVING 4 * sum(n) >= 16),
+f AS (SELECT v, count(DISTINCT class) FILTER (WHERE bits > 1.9) AS high, coalesce(max(bits) FILTER (WHERE class IS NULL), 0) AS bits FROM e GROUP BY v),
+o AS (SELECT z.v, coalesce(high, 0) AS high, coalesce(bits, 0) AS bits, regexp_matches(z.v, '[A-Z]') AND regexp_matches(z.v, '[a-z]') AND regexp_matches(z.v, '[0-9]') AS three FROM z LEFT JOIN f ON f.v = z.v),
+j AS (
+  SELECT x.h FROM x JOIN o a ON a.v = x.h JOIN o y ON y.v = x.rest
+  WHERE (a.three AND a.high >= 2 AND NOT regexp_matches(x.h, '^(/|\./|\.\./)|^([A-Za-z]+[-_/=])+[A-Za-z]*$|^[-_=+/]+$|^[0-9-]+$'))
+    OR (length(x.rest) >= 16 AND CASE
+      WHEN regexp_full_match(x.rest, '[A-Za-z/]+[0-9]{0,4}') THEN y.bits > 3.6 AND NOT (regexp_matches(x.rest, '[A-Z]') AND regexp_full_match(regexp_replace(x.rest, '[A-Z]{1,3}[a-z]{2,}', '', 'g'), '[a-z]*[0-9]{0,4}'))
+      WHEN y.three THEN y.high >= 2 ELSE y.bits > 3.4 END)),
+l AS (SELECT r, kind, start, name || ':' || start || ':' || stop AS one FROM (SELECT * FROM b UNION ALL SELECT c.* FROM c WHERE h IN (SELECT h FROM j)) AS found)
+SELECT doc_id, count(*) FILTER (WHERE kind = 1) AS n_assign, count(*) FILTER (WHERE kind = 2) AS n_access, count(*) FILTER (WHERE kind = 3) AS n_hex, count(*) FILTER (WHERE kind = 4) AS n_entropy,
+  sha256(coalesce(string_agg(one, ',' ORDER BY start, kind) FILTER (WHERE kind < 4), '')) AS base_sha256, coalesce(string_agg(one, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN l ON l.r = d.r GROUP BY d.r, doc_id""",
+}
